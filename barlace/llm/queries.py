@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import format_chats
+from .decontamination import find_leaks
+from .html_extraction import extract_pages
 from .jaccard_join import jaccard_groups
+from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality_rules import quality_verdicts
+from .secret_scan import scan_secrets
+from .token_counts import count_tokens
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +24,41 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", docs["_lines"].alias("n_lines"), docs["_dropped"].alias("n_dropped"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,7 +66,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_url_filter": op2_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_chat_format": op9_chat_format,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
