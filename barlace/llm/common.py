@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 #: Bytes that part words: 0x20 and 0x09-0x0D.  ``bytes.split()`` uses exactly these.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]"
-#: Rows of 8-byte ids that may be broadcast after they were counted (16 MB).
-BROADCAST_IDS = 500_000
+#: Rows of 8-byte ids that may be broadcast after they were counted.
+BROADCAST_IDS = 100_000
 #: Words kept in a Python worker's cache before it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_ROOTS: dict[str, str] = {}
 
 
@@ -53,11 +54,20 @@ class Scratch:
         atexit.register(self._at_exit)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true")  # a written table no longer needs the shuffles that led to it
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, like: DataFrame) -> DataFrame:
+        """A kept table that is not dropped yet, with the columns of ``like``."""
+        return self.spark.read.schema(like.schema).parquet(self.paths[name])
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):
@@ -122,9 +132,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
     e = scratch.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0"
     )
-    step = 0
+    tall = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    step, was = 0, None
     while True:
-        before = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large-star: neighbours above a node point to the least of its neighbourhood
@@ -136,10 +146,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         ).where("u <> v").distinct()
         step += 1
         e = scratch.keep(small, f"{name}-{step}")
-        tall = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        was, now = tall(before), tall(e)
+        was, now = (was or tall(scratch.read(f"{name}-{step - 1}", e))), tall(e)
         scratch.drop(f"{name}-{step - 1}")
-        if was == now:
+        was, same = now, was == now
+        if same:
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(
                 e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
             )

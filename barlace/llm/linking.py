@@ -7,8 +7,8 @@ in the last, exhaustive step.  So the groups equal those of all verified pairs.
 
 * A star round verifies each member of a bucket against one leader only, so a
   bucket of n rows gives n pairs.  Verified pairs are contracted at once.
-* Buckets whose members are all connected are finished.  Rounds go on while
-  they still join something and the rest would give many pairs.
+* Buckets whose members are all connected are finished.  There are STAR_ROUNDS
+  such rounds at every size.
 * What is left is compared pair by pair, across components only.
 """
 
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
 
-#: Left-over pairs per left-over row up to which the exhaustive step runs at once.
-PAIRS_PER_ROW = 8
+STAR_ROUNDS = 1
 
 
 def link(
@@ -30,11 +29,11 @@ def link(
 ) -> DataFrame | None:
     """(id, comp) for every id with a verified link; None if there is none.
 
-    ``buckets``: key long, id long, w (a column of weights that ``fits`` may name
-    as wa and wb).  ``verify``: (a, b, wa, wb) distinct pairs with a < b to those
-    that hold.  Null keys or ids must have been left out.
+    ``buckets``: key long, id long, w (a struct that ``fits``, SQL on one shared
+    key of a pair, may name as wa and wb).  ``verify``: distinct pairs (a, b) with
+    a < b to those that hold.  Null keys or ids must have been left out.
     """
-    rows, edges, comps, tried, turn = buckets, None, None, [], 0
+    rows, comps, tried, turn = buckets, None, [], 0
     while True:
         if comps is not None:
             joined = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -43,16 +42,12 @@ def link(
         open_keys = joined.groupBy("key").agg(
             F.min("comp").alias("lo"),
             F.max("comp").alias("hi"),
-            F.count("*").alias("n"),
-            F.min_by("id", F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("lead"),
+            F.min("id").alias("lead"),
         ).where("lo < hi")
-        live = scratch.keep(
-            joined.join(open_keys.select("key", "lead", "n"), "key"), f"{name}-live{turn}"
-        )
-        size = live.agg(F.count("*").alias("rows"), (F.sum(F.col("n").cast("double")) / 2).alias("pairs")).first()
+        live = scratch.keep(joined.join(open_keys.select("key", "lead"), "key"), f"{name}-live{turn}")
         if turn:
             scratch.drop(f"{name}-live{turn - 1}")
-        if not size["rows"]:
+        if live.isEmpty():
             break
         leads = live.where("id = lead").select("key", F.col("w").alias("lw"), F.col("comp").alias("lcomp")).dropDuplicates(["key"])
         star = (
@@ -63,14 +58,15 @@ def link(
                 F.when(F.col("id") < F.col("lead"), F.col("w")).otherwise(F.col("lw")).alias("wa"),
                 F.when(F.col("id") < F.col("lead"), F.col("lw")).otherwise(F.col("w")).alias("wb"),
             )
+            .where(fits)
         )
-        last = size["pairs"] <= PAIRS_PER_ROW * size["rows"] or (turn > 0 and not gained)
+        last = turn >= STAR_ROUNDS
         if last:
             one, two = live.select("key", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("comp").alias("ca")), live.select(
                 "key", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("comp").alias("cb")
             )
-            star = one.join(two, "key").where("ca <> cb and a < b").select("a", "b", "wa", "wb")
-        pairs = star.where(fits).distinct()
+            star = one.join(two, "key").where(f"ca <> cb and a < b and ({fits})")
+        pairs = star.select("a", "b").distinct()
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"{name}-pairs{turn}")
