@@ -17,7 +17,9 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -25,64 +27,134 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Scratch
+from .common import Scratch
 
 #: Pieces in a group, about.
 GROUP_PIECES = 4096
 #: A bin filled to this share of its capacity is finished; others go on.
 FULL_SHARE = 0.995
 #: Bytes of text that are split into words at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+#: Chunks kept in a worker before it starts anew (about 300 bytes each, with their parts).
+TOKEN_CACHE = 700_000
+#: Words that the library encodes as one text.
+LINE_WORDS = 128
+
+
+# Letters that stand composed and have a lower case of one letter, and marks that never join letters or digits.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:|*#$%&]*)")
+
+
+MARKS = b".,!?;:|*#$%&"
+
+
+class Numbers(dict):
+    """Numbers new keys in turn."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        return number
 
 
 class WordTokenizer:
     """Token ids of whole texts by a tokenizer that never joins over white space.
 
-    Each white-space-free chunk is encoded once and then looked up.  That
-    equals encoding the text at once for tokenizers that drop white space
-    before they merge; a test holds it against the library.
+    Each white-space-free chunk is looked up by number.  A chunk of plain letters
+    with marks behind has the ids of its lower-cased letters and those of its
+    marks, which are chunks themselves; any other is encoded once.  That equals
+    encoding the text at once for tokenizers that drop white space, lower-case,
+    and part letters from marks before they merge; a test holds it against the
+    library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.lengths, self.starts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        first, total = len(self.codes), int(sizes.sum())
-        while self.used + total > len(self.flat):
+        self.chunks = Numbers({b"": 0})
+        self.pairs = np.zeros((1 << 16, 2), np.int32)  # the two chunks that make up a chunk: itself and none, or letters and marks
+        self.flat, self.starts, self.sizes = np.empty(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word) for words that are one piece each before merging."""
+        lines = [b" ".join(words[k : k + LINE_WORDS]).decode() for k in range(0, len(words), LINE_WORDS)]
+        ids = [found.ids for found in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not close each word with one token")
+        return flat, np.diff(ends, prepend=0)
+
+    def store(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while first + len(chunks) > len(self.lengths):
-            self.lengths, self.starts = (np.concatenate([x, np.empty_like(x)]) for x in (self.lengths, self.starts))
-        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, total)
-        self.lengths[first : first + len(chunks)] = sizes
-        self.starts[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.used += total
-        self.codes.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.pairs[numbers, 0] = numbers
+        self.used += len(ids)
+
+    def learn(self, first: int) -> None:
+        """Encodes the chunks that are numbered from ``first``."""
+        fresh = list(itertools.islice(reversed(self.chunks), len(self.chunks) - first))[::-1]
+        plain, other, made = [], [], []
+        for chunk in fresh:  # grows by the parts of made chunks
+            if (chunk.isalpha() and chunk.islower()) or not chunk.strip(MARKS):
+                plain.append(chunk)
+            elif m := PLAIN.fullmatch(text := chunk.decode()):
+                letters = m[1].lower().encode()
+                if letters == chunk:
+                    plain.append(chunk)
+                    continue
+                for part in (letters, m[2].encode()):
+                    if part not in self.chunks:
+                        fresh.append(part)
+                made.append((self.chunks[chunk], self.chunks[letters], self.chunks[m[2].encode()]))
+            else:
+                other.append((chunk, text))
+        while len(self.chunks) > len(self.pairs):
+            self.pairs, self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.pairs, self.starts, self.sizes))
+        if plain:
+            self.store([self.chunks[c] for c in plain], *self.encode_words(plain))
+        if other:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([t for _, t in other], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.store([self.chunks[c] for c, _ in other], np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        if made:
+            numbers = np.array(made, np.int32)
+            self.pairs[numbers[:, 0]] = numbers[:, 1:]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.codes) > CACHE_WORDS:
+        if len(self.chunks) > TOKEN_CACHE:
             self.clear()
         split = [t.split() for t in texts]
-        if missing := list(set(itertools.chain.from_iterable(split)).difference(self.codes)):
-            self.learn(missing)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter(map(self.codes.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
-        sizes = self.lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(self.starts[codes] - ends[:-1], sizes) + np.arange(ends[-1])]
-        cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
+        known = len(self.chunks)
+        numbers = np.fromiter(map(self.chunks.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if len(self.chunks) > known:
+            self.learn(known)
+        parts = self.pairs[numbers].ravel()
+        sizes = self.sizes[parts]
+        ends = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        ids = self.flat[np.repeat(self.starts[parts] - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[2 * np.concatenate([[0], np.cumsum(counts)])]
         return [ids[i:j] for i, j in itertools.pairwise(cuts)]
 
 
+@functools.cache
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker."""
+    return WordTokenizer(path)
+
+
 def slices(texts: list[bytes], most: int = SLICE_BYTES):
     """Runs of texts of about ``most`` bytes together; a longer text stands alone."""
     part, size = [], 0
@@ -103,7 +175,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     """One row per piece of each document of (id, text)."""
 
     def run(batches):
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = worker_tokenizer(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             ids = batch.column("id").to_pylist()
