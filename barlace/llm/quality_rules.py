@@ -176,13 +176,15 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         .limit(FIT_ROWS)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    known = with_stats(texts.join(F.broadcast(chosen), "_id"), "_text").select("_id", "_label", "_stats.*").where(f"not {BASE_FAILED}")
+    # the base rule is applied below: as a Spark filter it would move under the join, to every document
+    known = with_stats(texts.join(F.broadcast(chosen), "_id"), "_text").select("_id", "_label", "_stats.*")
     rows = (
-        known.select("_label", "_id", *(F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()))
+        known.select("_label", "_id", F.expr(BASE_FAILED).alias("_failed"), *(F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()))
         .orderBy(F.xxhash64("_id"), "_id", *FEATURES)
         .limit(2 * FIT_ROWS)
         .collect()  # bounded by the limit
     )
+    rows = [r for r in rows if not r["_failed"]]
     table = {name: np.array([r[name] for r in rows], float) for name in FEATURES}
     return learn_rules(table, np.array([r["_label"] == 0 for r in rows], bool))
 
