@@ -70,7 +70,9 @@ def paired_session_bootstrap(predictions: DataFrame, resamples: int = 1000, conf
     from .metrics import require_cohorts
 
     require_cohorts(predictions)
-    sums = cluster_sums(predictions).cache()
+    from ..plans.store import keep
+
+    sums = keep(cluster_sums(predictions), "sums")
     draws = multiplicities(predictions.sparkSession, sums, resamples, seed)
     return bootstrap_intervals(sums, draws, confidence, resamples).orderBy("embargo_sessions", "fold", "horizon_minutes", "model", "loss")
 

@@ -18,6 +18,7 @@ from ..operators import bars as ops
 from ..operators import hmm, preprocessing
 from ..operators import retrieval as rt
 from .config import Config
+from .store import keep
 
 KEYS = ["refit_id", "q_t", "embargo_sessions"]
 
@@ -28,7 +29,7 @@ class NoEvaluableQueries(RuntimeError):
 
 @dataclass
 class WalkForward:
-    """Plans of one evaluation; nothing runs until a table is used."""
+    """Tables of one evaluation; panel, contexts and common queries are kept, the rest runs when used."""
 
     config: Config
     bars: DataFrame  # with features, labels, recent_return, block
@@ -38,6 +39,7 @@ class WalkForward:
     queries: DataFrame
     candidates: DataFrame
     folds: DataFrame  # session, fold
+    common: DataFrame | None = None  # queries of the common cohort, once they are known
 
     @property
     def horizons(self) -> list[int]:
@@ -87,9 +89,10 @@ def plan(bars: DataFrame, config: Config) -> WalkForward:
     if "volume_surprise" in columns:
         panel = preprocessing.with_surprise(panel, preprocessing.volume_statistics(panel))
     panel = preprocessing.standardized(panel, preprocessing.scaler_statistics(panel, columns), columns)
-    panel = panel.persist()  # every method reads it; a lost part is computed anew
+    panel = keep(panel, "panel")  # every method reads it
     known = reduce(lambda a, b: a & b, (F.col(f"return_{h}m").isNotNull() for h in config.horizons_minutes))
-    made = ops.contexts(panel, columns, config.context_bars, by=["refit_id"]).where("context is not null").persist()
+    made = ops.contexts(panel, columns, config.context_bars, by=["refit_id"]).where("context is not null")
+    made = keep(made, "contexts")
     horizons = config.horizons_minutes
     queries = made.where(~F.col("is_train") & known & F.col("recent_return").isNotNull()).select(
         "refit_id", F.col("t").alias("q_t"), F.col("session").alias("q_date"), F.col("session_index").alias("q_session"), F.col("minute_of_session").alias("q_minute"),
@@ -114,8 +117,11 @@ def same_time_pairs(w: WalkForward) -> DataFrame:
 
 def common_queries(w: WalkForward) -> DataFrame:
     """Queries whose same-time cohort is non-empty under every embargo."""
+    if w.common is not None:
+        return w.common
     whole = same_time_pairs(w).groupBy("refit_id", "q_t").agg(F.count_distinct("embargo_sessions").alias("n")).where(F.col("n") == len(w.config.embargoes))
-    return w.queries.join(whole.select("refit_id", "q_t"), ["refit_id", "q_t"], "left_semi").persist()
+    w.common = keep(w.queries.join(whole.select("refit_id", "q_t"), ["refit_id", "q_t"], "left_semi"), "queries")
+    return w.common
 
 
 def unconditional_pairs(w: WalkForward, queries: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from .oracle import metrics as metric_sql
 from .oracle import sql
 from .plans import walk_forward as wf
 from .plans.config import config_from
+from .plans.store import keep
 from .sources.bars import bars_from_events
 from .sources.calendar import bar_grid, day_calendar, filter_regular_hours, xnys_calendar
 
@@ -37,6 +38,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_EVALUATIONS: dict[tuple, wf.WalkForward] = {}
 _PREDICTIONS: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -53,6 +55,14 @@ def grid(spark):
 
 
 def evaluation(spark, d, config=CONFIG) -> wf.WalkForward:
+    """Tables of one walk-forward run, computed once per session, input and configuration."""
+    key = (spark.sparkContext.applicationId, d, config)
+    if key not in _EVALUATIONS:
+        _EVALUATIONS[key] = _evaluation(spark, d, config)
+    return _EVALUATIONS[key]
+
+
+def _evaluation(spark, d, config) -> wf.WalkForward:
     return wf.plan(ops.with_segments(bars_from_events(_table(spark, d, "events"), config.bar_minutes), config.bar_minutes), config)
 
 
@@ -245,7 +255,8 @@ def predictions(spark, d):
     """Rows of three methods; computed once per session and input, as one run scores one set of forecasts."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PREDICTIONS:
-        _PREDICTIONS[key] = wf.forecasts(evaluation(spark, d), methods=("same_time_of_day", "raw_knn", "momentum")).persist()
+        _PREDICTIONS[key] = wf.forecasts(evaluation(spark, d), methods=("same_time_of_day", "raw_knn", "momentum"))
+        _PREDICTIONS[key] = keep(_PREDICTIONS[key], "predictions")
     return _PREDICTIONS[key]
 
 
@@ -295,7 +306,7 @@ def q_cluster_sums(spark, d):
 
 
 def q_bootstrap(spark, d):
-    sums = bootstrap.cluster_sums(predictions(spark, d), MODELS).cache()
+    sums = keep(bootstrap.cluster_sums(predictions(spark, d), MODELS), "sums")
     return bootstrap.bootstrap_intervals(sums, bootstrap.multiplicities(spark, sums, 100, 42), 0.95, 100)
 
 
@@ -347,7 +358,7 @@ def q_hmm_fit(spark, d):
 
 def q_hmm_forecasts(spark, d):
     w = evaluation(spark, d)
-    models = wf.fit_models(w).cache()
+    models = keep(wf.fit_models(w), "models")
     return wf.forecasts(w, models, ()).select(*FORECAST, *_r("median", "actual_return"))
 
 
@@ -357,7 +368,7 @@ def q_hmm_forecasts(spark, d):
 def _trading(spark, d):
     rows = predictions(spark, d).where("embargo_sessions = 1 and method in ('momentum', 'same_time_of_day')").select("method", "horizon_minutes", "q_t", "outcome_end", "median")
     b = segments(spark, d)
-    return b, rows, trading.trades(b, rows, 0.0, 1.0, SECONDS)
+    return b, rows, keep(trading.trades(b, rows, 0.0, 1.0, SECONDS), "trades")
 
 
 def q_trades(spark, d):
@@ -376,14 +387,14 @@ def q_trading_metrics(spark, d):
 
 def q_audit(spark, d):
     w = evaluation(spark, d)
-    return audit.violations(w, predictions(spark, d), wf.neighbor_audit(w, wf.common_queries(w)).persist())
+    return audit.violations(w, predictions(spark, d), keep(wf.neighbor_audit(w, wf.common_queries(w)), "neighbors"))
 
 
 def q_prefix(spark, d):
     """Forecasts of a run that ends early differ nowhere from those of the whole run."""
     events = _table(spark, d, "events")
     part = wf.plan(ops.with_segments(bars_from_events(events.where("ts < timestamp_ntz'2024-01-22 00:00:00'"), CONFIG.bar_minutes), CONFIG.bar_minutes), CONFIG)
-    return audit.prefix_differences(wf.forecasts(part, methods=("same_time_of_day", "raw_knn", "momentum")).persist(), predictions(spark, d))
+    return audit.prefix_differences(wf.forecasts(part, methods=("same_time_of_day", "raw_knn", "momentum")), predictions(spark, d))
 
 
 QUERIES = {
