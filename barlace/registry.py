@@ -17,6 +17,7 @@ from .operators import bars as ops
 from .operators import retrieval as rt
 from .oracle import metrics as metric_sql
 from .oracle import sql
+from .plans import report
 from .plans import walk_forward as wf
 from .plans.config import config_from
 from .plans.store import keep
@@ -310,6 +311,16 @@ def q_bootstrap(spark, d):
     return bootstrap.bootstrap_intervals(sums, bootstrap.multiplicities(spark, sums, 100, 42), 0.95, 100)
 
 
+def q_bootstrap_means(spark, d):
+    """The part of the bootstrap that does not depend on draws."""
+    names = ["embargo_sessions", "horizon_minutes", "fold", "model", "loss", "n_forecasts", "n_sessions", "status"]
+    return q_bootstrap(spark, d).select(*names, *_r("mean_difference", digits=7))
+
+
+def q_query_coverage(spark, d):
+    return report.query_coverage(predictions(spark, d))
+
+
 def q_conclusion(spark, d):
     table = q_bootstrap(spark, d).where("model = 'momentum' and loss = 'absolute_error' and embargo_sessions = 1")
     return bootstrap.conclusion(table, [15, 30, 60], 3)
@@ -405,7 +416,7 @@ QUERIES = {
     "same_time_counts": q_same_time, "common_cohort": q_common, "neighbors": q_neighbors, "knn_euclidean": q_knn_euclidean, "knn_cosine": q_knn_cosine,
     "unconditional_forecast": q_unconditional, "same_time_forecast": q_same_time_forecast, "momentum_forecast": q_momentum, "raw_knn_forecast": q_raw_knn,
     "predictions": q_predictions, "forecast_metrics": q_metrics, "fold_metrics": q_fold_metrics, "calibration": q_calibration, "sensitivity": q_sensitivity,
-    "paired_differences": q_paired, "cohort_violations": q_cohorts, "bootstrap_cluster_sums": q_cluster_sums, "bootstrap_ci": q_bootstrap, "conclusion": q_conclusion,
+    "paired_differences": q_paired, "cohort_violations": q_cohorts, "bootstrap_cluster_sums": q_cluster_sums, "bootstrap_ci": q_bootstrap, "bootstrap_means": q_bootstrap_means, "query_coverage": q_query_coverage, "conclusion": q_conclusion,
     "hmm_filter_fixed": q_filter, "state_occupancy": q_occupancy, "occupancy_by_sign": q_occupancy_by_sign, "occupancy_by_volatility": q_occupancy_by_volatility,
     "clock_concentration": q_clock, "hmm_fit_walk_forward": q_hmm_fit, "hmm_forecasts": q_hmm_forecasts, "trades": q_trades, "equity_curve": q_equity,
     "trading_metrics": q_trading_metrics, "audit_violations": q_audit, "prefix_invariance": q_prefix,
@@ -504,4 +515,30 @@ def _with_trades(final: str) -> str:
 
 
 ORACLE_SQL["trades"] = _with_trades("SELECT method, horizon_minutes, q_t, entry_t, exit_t, ((exit_t - q_t) / 900)::INT AS holding_bars, round(entry_price, 6) + 0.0 AS entry_price, round(exit_price, 6) + 0.0 AS exit_price, round(exit_price / entry_price - 1, 6) + 0.0 AS gross_return, round(exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)) - 1, 6) + 0.0 AS net_return FROM done")
+_EQUITY_STEPS = """, cum AS MATERIALIZED (SELECT *, exp(sum(ln(exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)))) OVER w) AS na, exp(sum(ln(exit_price / entry_price)) OVER w) AS ga,
+exp(sum(ln(exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)))) OVER w) / (exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001))) AS nb, exp(sum(ln(exit_price / entry_price)) OVER w) / (exit_price / entry_price) AS gb
+FROM done WINDOW w AS (PARTITION BY method, horizon_minutes ORDER BY q_t)),
+span AS MATERIALIZED (SELECT b.t, b.session, b.close, k.method, k.horizon_minutes FROM seg b CROSS JOIN (SELECT DISTINCT method, horizon_minutes FROM sig) k
+WHERE b.session BETWEEN (SELECT min(session) FROM seg JOIN sig ON seg.t = sig.q_t) AND (SELECT max(session) FROM seg JOIN sig ON seg.t = sig.q_t)),
+eq AS MATERIALIZED (SELECT s.method, s.horizon_minutes, s.session, s.t, CASE WHEN c.q_t IS NULL THEN 1.0::DOUBLE WHEN s.t = c.q_t THEN nb / 1.0001 WHEN s.t < c.exit_t THEN nb / (entry_price * 1.0001) * s.close ELSE na END AS net_equity,
+CASE WHEN c.q_t IS NULL THEN 1.0::DOUBLE WHEN s.t = c.q_t THEN gb WHEN s.t < c.exit_t THEN gb / entry_price * s.close ELSE ga END AS gross_equity
+FROM span s ASOF LEFT JOIN cum c ON s.method = c.method AND s.horizon_minutes = c.horizon_minutes AND s.t >= c.q_t)"""
+
+
+def _with_equity(final: str) -> str:
+    mark = "\x00"
+    return _with_trades(mark + final).replace(" " + mark, _EQUITY_STEPS + " ")
+
+
+ORACLE_SQL |= {
+    "equity_curve": _with_equity("SELECT method, horizon_minutes, session, t, round(ln(gross_equity), 5) AS ln_gross_equity, round(ln(net_equity), 5) AS ln_net_equity FROM eq"),
+    "trading_metrics": _with_equity("""SELECT m.method, m.horizon_minutes, coalesce(n, 0) AS n_trades, n_sessions, n_bars, round(hit, 6) + 0.0 AS hit_rate, round(avg_return, 6) + 0.0 AS average_holding_return, round(coalesce(held, 0) / n_bars, 6) + 0.0 AS time_in_market,
+        round(drawdown, 6) + 0.0 AS max_drawdown, round(ln(net), 5) AS ln_net FROM (SELECT method, horizon_minutes, count(DISTINCT session) AS n_sessions, count(*) AS n_bars, max(1 - net_equity / peak) AS drawdown, arg_max(net_equity, t) AS net
+        FROM (SELECT *, max(greatest(net_equity, 1.0)) OVER (PARTITION BY method, horizon_minutes ORDER BY t) AS peak FROM eq) GROUP BY ALL) m LEFT JOIN (SELECT method, horizon_minutes, count(*) AS n,
+        avg((exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)) - 1 > 0)::INT::DOUBLE) AS hit, avg(exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)) - 1) AS avg_return, sum((exit_t - q_t) / 900)::BIGINT AS held FROM done GROUP BY ALL) d USING (method, horizon_minutes)"""),
+    "bootstrap_means": sql("""SELECT embargo_sessions, horizon_minutes, fold, model, loss_name AS loss, count(*) AS n_forecasts, count(DISTINCT q_session) AS n_sessions, CASE WHEN count(DISTINCT q_session) >= 2 THEN 'ok' ELSE 'insufficient_sessions' END AS status, round(avg(v), 7) + 0.0 AS mean_difference
+        FROM (UNPIVOT (SELECT o.embargo_sessions, o.horizon_minutes, o.fold, o.q_session, o.method AS model, o.absolute_error - r.absolute_error AS absolute_error, o.squared_error - r.squared_error AS squared_error, o.brier - r.brier AS brier
+        FROM sub o JOIN sub r USING (embargo_sessions, horizon_minutes, fold, q_t) WHERE r.method = 'raw_knn' AND o.method <> 'raw_knn') ON absolute_error, squared_error, brier INTO NAME loss_name VALUE v) GROUP BY ALL"""),
+    "query_coverage": sql("SELECT q_session, count(DISTINCT q_t) AS queries, min(q_t) AS first_t, max(q_t) AS last_t FROM pred GROUP BY q_session"),
+}
 ORACLE_SQL = {name: _tied(text) for name, text in ORACLE_SQL.items()}
