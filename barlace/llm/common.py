@@ -73,6 +73,10 @@ class Scratch:
             if path := self.paths.pop(name, None):
                 _delete(self.spark, path)
 
+    def drop_but(self, *names: str) -> None:
+        """Frees all tables except the named ones."""
+        self.drop(*(set(self.paths) - set(names)))
+
     def _at_exit(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
