@@ -191,6 +191,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+        tokenizer.clear()  # an idle worker keeps the tokenizer, not the texts' chunks
 
     return docs.mapInArrow(run, PIECES)
 
