@@ -7,7 +7,9 @@ moves pieces between underfull bins, exchanges one for one or two for one,
 always raising the sum of squared fills, while the free space of the other
 underfull bins could still empty one.  Pieces of bins that stay underfull go
 on to a further round with the leftovers of other groups, until one group is
-left.  No group grows with the input; the rounds are logarithmic in it.
+left or a round leaves more than PROGRESS_SHARE of its pieces; then one more
+round finishes every bin.  No group grows with the input; the rounds are
+logarithmic in it, whatever the lengths.
 
 Cases: null or empty text has the end token alone; a null id is kept; repeated
 rows are packed each for itself; ties in length go by row order; extra columns
@@ -33,6 +35,8 @@ from .common import Scratch
 GROUP_PIECES = 4096
 #: A bin filled to this share of its capacity is finished; others go on.
 FULL_SHARE = 0.995
+#: A round that leaves more than this share of its pieces is followed by the last one.
+PROGRESS_SHARE = 0.9
 #: Bytes of text that are split into words at once.
 SLICE_BYTES = 2_000_000
 #: Chunks kept in a worker before it starts anew (about 300 bytes each, with their parts).
@@ -259,7 +263,11 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
                 fill[source] -= net
                 fill[target] += net
                 moved = True
-        if not moved or not fill[source]:
+        if not moved:
+            # bins with the same lengths meet a part of the same targets, in vain as well
+            same = sorted(lengths[i] for i in bins[source])
+            under = [k for k in under if fill[k] != fill[source] or sorted(lengths[i] for i in bins[k]) != same]
+        elif not fill[source]:
             under.pop(0)
         under = sorted((k for k in under if fill[k] < capacity), key=lambda k: fill[k])
     return [b for b in bins if b]
@@ -309,10 +317,10 @@ def pack_documents(
         .withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
         .select(names)
     ]
-    rest, turn = pieces.where(F.col("length") < capacity), 0
+    rest, turn, before = pieces.where(F.col("length") < capacity), 0, None
     while n := rest.count():
         groups = -(-n // GROUP_PIECES)
-        run = group_packer(capacity, turn << 57, last=groups == 1)
+        run = group_packer(capacity, turn << 57, last=groups == 1 or (before is not None and n > PROGRESS_SHARE * before))
         packed = scratch.keep(
             rest.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(groups)))
             .groupBy("grp")
@@ -320,7 +328,7 @@ def pack_documents(
             f"round{turn}",
         )
         done.append(packed.where("finished").select(names))
-        rest, turn = packed.where("not finished").select(*NAMES, "uid"), turn + 1
+        rest, turn, before = packed.where("not finished").select(*NAMES, "uid"), turn + 1, n
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
