@@ -8,8 +8,10 @@ substitutions allowed.  A leak is a stretch of ``span`` words (the whole item if
 it is shorter) in which at least ``percent`` per cent of the words agree.
 
 The masks are complete for the defaults: whichever two of 13 words differ, one
-mask at one place avoids both (a test goes through all cases).  Items with
-fewer words than a mask are hashed whole; below five words they match nothing.
+mask at one place avoids both (a test goes through all cases).  A shorter
+stretch (a short item or ``span``) is cut into blocks, three more than the check
+accepts substitutions in it, and each choice of three of them is a mask: whichever
+words differ, one mask avoids them all.  Below five words items match nothing.
 
 Test items are few by nature, yet not assumed so: they are handed to the scan
 in blocks of bounded size, one pass over the documents each.  A document is
@@ -24,6 +26,7 @@ ignored; an empty table on either side gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -35,7 +38,8 @@ from .common import WordHashes, windows
 
 #: Positions that each mask looks at.
 MASKS = ((0, 1, 2, 4, 5, 7, 8), (0, 1, 3, 6, 7, 8, 9), (0, 1, 2, 4, 5, 6, 9), (0, 1, 2, 5, 7, 8, 9))
-SHORTEST = max(m[-1] for m in MASKS) + 1
+#: Words of a stretch for which the masks are complete.
+COMPLETE_WORDS = 13
 #: Stripped from both ends of a word.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Items with fewer words are not told from chance and match nothing.
@@ -54,11 +58,17 @@ class PlainHashes(WordHashes):
         return value
 
 
-def item_seeds(length: int) -> list[tuple[int, ...]]:
-    """Masks for an item: the fixed ones, or one over all its words if it is too short for them."""
+def item_seeds(length: int, span: int = 13, percent: int = 80) -> list[tuple[int, ...]]:
+    """Masks for an item: the fixed ones, or for a short one those that avoid whatever substitutions the check accepts."""
+    width = min(span, length)
     if length < LEAST_WORDS:
         return []
-    return list(MASKS) if length >= SHORTEST else [tuple(range(length))]
+    if width >= COMPLETE_WORDS:
+        return list(MASKS)
+    wrong = width - -(-percent * width // 100)
+    blocks = min(width, wrong + 3)
+    cuts = [width * k // blocks for k in range(blocks + 1)]
+    return [tuple(p for k in chosen for p in range(cuts[k], cuts[k + 1])) for chosen in itertools.combinations(range(blocks), blocks - wrong)]
 
 
 class SeedIndex:
@@ -69,7 +79,7 @@ class SeedIndex:
         hashes, owners, places = [], [], []
         self.seeds: set[tuple[int, ...]] = set()
         for k, (_, words) in enumerate(items):
-            for mask in item_seeds(len(words)):
+            for mask in item_seeds(len(words), span, percent):
                 found = windows(words, mask[-1] + 1, mask) ^ np.uint64(len(mask) * 64 + mask[-1])
                 self.seeds.add(mask)
                 hashes.append(found)

@@ -1,10 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 
+import itertools
 from collections import Counter
 
+import numpy as np
+import pytest
 from test_operators import BPE
 
-from barlace.llm import packing
+from barlace.llm import decontamination, packing
 
 
 def test_packing_ends_where_no_bin_can_be_filled(spark):
@@ -21,3 +24,15 @@ def test_local_search_skips_bins_known_to_be_stuck(monkeypatch):
     monkeypatch.setattr(packing, "_largest_transfer", lambda *a: calls.append(1) or largest(*a))
     assert len(packing.pack([2500] * 2000, 4096)) == 2000
     assert len(calls) < 2 * 2000
+
+
+@pytest.mark.parametrize("n", range(5, 14))
+def test_every_accepted_substitution_in_a_short_item_is_found(n):
+    item, noise = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(900, 960, dtype=np.uint64)
+    index = decontamination.SeedIndex([(7, item)], 13, 80)
+    for k in range(4):
+        for miss in itertools.combinations(range(n), k):
+            changed = item.copy()
+            changed[list(miss)] = np.arange(k, dtype=np.uint64)
+            found = list(index.leaks(np.concatenate([noise[:30], changed, noise[30:]])))
+            assert found == ([(7, 30, n, n - k)] if 100 * (n - k) >= 80 * n else []), miss
