@@ -47,7 +47,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return docs.select("doc_id", "text", docs["_lines"].alias("n_lines"), docs["_dropped"].alias("n_dropped"))
 
 

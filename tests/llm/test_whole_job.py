@@ -1,13 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
 import itertools
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import BPE
+from test_operators import BPE, words
 
-from barlace.llm import decontamination, packing
+from barlace.llm import decontamination, line_dedup, packing
 
 
 def test_packing_ends_where_no_bin_can_be_filled(spark):
@@ -36,3 +37,29 @@ def test_every_accepted_substitution_in_a_short_item_is_found(n):
             changed[list(miss)] = np.arange(k, dtype=np.uint64)
             found = list(index.leaks(np.concatenate([noise[:30], changed, noise[30:]])))
             assert found == ([(7, 30, n, n - k)] if 100 * (n - k) >= 80 * n else []), miss
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("length", [5, 8, 12, 20, 40, 100])
+def test_near_lines_are_found_by_edit_similarity_alone(spark, length):
+    rng = random.Random(length)
+    rows, close = [], 0
+    for k in range(40):
+        base = words(rng, length)
+        copy = list(base)
+        for i in rng.sample(range(length), rng.randint(1, max(1, length // 20))):
+            copy[i] = words(rng, 1)[0]
+        a, b = " ".join(base), " ".join(copy)
+        close += edit_distance(a, b) <= max(len(a), len(b)) * 20 // 100
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = sum(r._dropped for r in line_dedup.dedup_lines(table, whole=True).collect())
+    assert 0.95 * close <= cut <= close
