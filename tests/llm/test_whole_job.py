@@ -63,3 +63,11 @@ def test_near_lines_are_found_by_edit_similarity_alone(spark, length):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     cut = sum(r._dropped for r in line_dedup.dedup_lines(table, whole=True).collect())
     assert 0.95 * close <= cut <= close
+
+
+def test_short_and_unspaced_lines_take_part(spark):
+    han, other = "今日は天気がとても良いので公園まで散歩に行きました", "今日は天気がとても良いので公園まで散歩へ行きました"
+    rows = [(1, f"Short one\n{han}\n--\n"), (2, f"short  ONE!\n{other}\n--\n\nfive"), (3, f"x\n{han}\nfour\nX")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table, whole=True).collect()}
+    assert got == {1: rows[0][1], 2: "--\n\nfive", 3: "x\nfour"}
