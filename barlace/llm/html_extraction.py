@@ -11,7 +11,7 @@ makes (no two alike in names, order or nesting).
 
 Cases: null html counts as empty and gives empty text; null urls and ids are
 kept; broken, unclosed or cut-off markup is read on (a tag cut off by the end of
-the page is dropped); character references are decoded once, as browsers do;
+the page is dropped; what cannot stand in a head ends it, a block ends a drawing); character references are decoded once, as browsers do;
 repeated rows are extracted each; extra columns are ignored; an empty table
 gives an empty result.
 """
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 # Elements of the HTML standard by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("script style noscript template svg math head title object iframe canvas audio video select textarea datalist".split())
+UNSEEN = set("script style noscript template svg head title object iframe canvas audio video select textarea datalist".split())
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes style script template".split())
 RAW = set("script style textarea title noscript iframe".split())
 BLOCK = set(
     "html body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
@@ -75,6 +76,8 @@ def parse(page: str) -> list[Node]:
 
     def write(text: str) -> None:
         nonlocal current
+        if stack[-1][0] == "head" and text and not text.isspace():
+            pop(len(stack) - 1)  # text ends a head whose end tag is left out
         if hidden or not text:
             return
         if current is None:
@@ -114,6 +117,10 @@ def parse(page: str) -> list[Node]:
             if k is not None:
                 pop(k)
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
+        if tag in BLOCK and (k := innermost({"svg"}, {"foreignobject", "desc"})) is not None:
+            pop(k)  # a block ends a drawing, but for the places in it that hold HTML
         if tag == "br":
             write(" ")
             continue
@@ -121,7 +128,7 @@ def parse(page: str) -> list[Node]:
             if tag == "hr":
                 current = None
             continue
-        if tag in CLOSES_P and (k := innermost({"p"}, {"table", "button", "td", "th"})) is not None:
+        if tag in CLOSES_P and (k := innermost({"p"}, {"table", "button", "td", "th", "foreignobject", "desc"})) is not None:
             pop(k)
         if tag in SAME_CLOSES and (k := innermost(*SAME_CLOSES[tag])) is not None:
             pop(k)

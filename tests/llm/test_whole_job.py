@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from test_operators import BPE, words
 
-from barlace.llm import decontamination, line_dedup, packing
+from barlace.llm import decontamination, html_extraction, line_dedup, packing
 
 
 def test_packing_ends_where_no_bin_can_be_filled(spark):
@@ -71,3 +71,15 @@ def test_short_and_unspaced_lines_take_part(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table, whole=True).collect()}
     assert got == {1: rows[0][1], 2: "--\n\nfive", 3: "x\nfour"}
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>T</title><article><p>one</article>", ["one"]),
+    ("<head><meta charset=x><script>s</script>\nplain text<p>two", ["plain text", "two"]),
+    ("<html><head><title>T</title><style>s</style></head><body><p>x", ["x"]),
+    ("<article><svg><path d=x><text>drawn</text><p>one</p><p>two</article>", ["one", "two"]),
+    ("<article><p>a<svg><text>drawn</text></svg>b<p>c<svg><foreignObject><div>held</div></foreignObject></svg>d</article>", ["ab", "c", "d"]),
+    ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</article>", ["let x=1 be"]),
+])
+def test_left_out_tags_and_formulas_hide_no_text(page, want):
+    assert [x.text for x in html_extraction.parse(page) if x.tag == "#text"] == want
