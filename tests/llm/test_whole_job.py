@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from test_operators import BPE, words
 
+import corpus_pipeline
 from barlace.llm import decontamination, html_extraction, line_dedup, packing
 
 
@@ -83,3 +84,11 @@ def test_short_and_unspaced_lines_take_part(spark):
 ])
 def test_left_out_tags_and_formulas_hide_no_text(page, want):
     assert [x.text for x in html_extraction.parse(page) if x.tag == "#text"] == want
+
+
+def test_repeated_rows_leave_one_row(spark):
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, one), (1, one), (1, two), (3, one), (None, one), (None, one), (None, two), (4, None), (4, None), (5, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, table, "").collect())
+    assert got == Counter([(1, one), (1, two), (None, one), (None, two), (4, None), (5, "")])
