@@ -1,0 +1,239 @@
+"""Signatures of lines, vectorised over code points: class hashes, SimHash, near keys.
+
+A line is normalised to its words: lower case, runs of letters and digits, and each
+character of a script that writes without spaces on its own.  Everything else parts
+words.  Per line of one word or more there are
+
+* ``ha``, ``hb``: two independent 64-bit hashes of the word sequence, which name its
+  class of equal lines;
+* ``sh``: the 64-bit SimHash of its words (bit k is set if most words have bit k set);
+* ``n``, ``size``: its words, and the characters of the normalised line;
+* ``keys``: what it shares with lines that differ in a few words.  Up to DELETION_WORDS
+  words, the line with any one word left out, and itself.  From WINDOW_LEAST words, the
+  least hash of its word windows in each of some buckets of hashes: windows of three
+  words for lines of at most SHORT_MOST words, of five for lines of LONG_LEAST or more.
+  Lines between the two have both, so lines of near lengths always share a kind.
+
+Texts are worked on in pieces of PIECE_CHARS characters that are cut between words, so
+memory does not grow with a text beyond eight bytes a word.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+
+from .common import MULTIPLIERS, mixed
+
+U = np.uint64
+PIECE_CHARS = 1 << 20
+DELETION_WORDS, WINDOW_LEAST, SHORT_MOST, LONG_LEAST = 9, 8, 24, 20
+#: (width of the windows, buckets of hashes) for short and long lines.
+SHORT_WINDOWS, LONG_WINDOWS = (3, 16), (5, 8)
+#: Lines of so many words are summed bit by bit, as 16-bit lanes would overflow.
+GIANT_WORDS = 1 << 16
+# First and last code points of scripts that write without spaces (Thai and Lao, Myanmar, Khmer, kana, Han, Han, Han, Han of the upper planes).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+GAP, LETTER, ALONE = 0, 1, 2
+#: Salts of the sums: odd numbers made by the rule of ``MULTIPLIERS``.
+CHAR, PLACE, ORDER = MULTIPLIERS[40], MULTIPLIERS[41], MULTIPLIERS[42]
+
+
+@lru_cache(maxsize=1)
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case, and GAP, LETTER or ALONE, of every code point."""
+    low = np.arange(0x110000, dtype=np.uint32)
+    kind = np.zeros(0x110000, np.uint8)
+    for code in range(0x110000):
+        c = chr(code)
+        if c.isalnum():
+            kind[code] = LETTER
+            if (lower := c.lower()) != c:
+                low[code] = ord(lower[0])
+    for first, last in UNSPACED:
+        kind[first : last + 1][kind[first : last + 1] == LETTER] = ALONE
+    return low, kind
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def normalised(lines: list[str]) -> list[str]:
+    """Each line (without line ends) in its normal form."""
+    low, kind = tables()
+    codes = low[_codes("\n".join(lines))]
+    ends = codes == 10
+    word = kind[codes] > GAP
+    after = np.concatenate([[False], word[:-1]])
+    codes = np.where(word | ends, codes, np.uint32(32))[word | ends | after]
+    return [x.rstrip(" ") for x in codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split("\n")]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces, cut where a line ends or a space stands."""
+    start = 0
+    while len(text) - start > PIECE_CHARS:
+        cuts = [at for at in (text.find("\n", start + PIECE_CHARS, start + 2 * PIECE_CHARS), text.find(" ", start + PIECE_CHARS, start + 2 * PIECE_CHARS)) if at >= 0]
+        if not cuts:  # no place between words within reach
+            break
+        yield text[start : min(cuts)]
+        start = min(cuts)
+    yield text[start:]
+
+
+def words_of(text: str) -> tuple[np.ndarray, ...]:
+    """(hash, second hash, line number, characters with the gap before) of each word of a text."""
+    low, kind = tables()
+    parts, line = [], 0
+    for piece in pieces(text):
+        codes = low[_codes(piece)]
+        kinds = kind[codes]
+        at = np.flatnonzero(kinds)
+        ends = np.flatnonzero(codes == 10)
+        if len(at):
+            before = np.concatenate([[GAP], kinds[:-1]])[at]
+            begins = np.flatnonzero((before != LETTER) | (kinds[at] == ALONE))
+            lengths = np.diff(begins, append=len(at))
+            places = (np.arange(len(at)) - np.repeat(begins, lengths)).astype(U)
+            m = mixed(codes[at].astype(U) * CHAR + places * PLACE)
+            sums, others = np.add.reduceat(m, begins), np.add.reduceat(m * (m >> U(32)), begins)
+            lines = np.searchsorted(ends, at[begins])
+            sizes = lengths + (before[begins] == GAP)
+            parts.append((mixed(sums), mixed(others), lines + line, sizes))
+        line += len(ends)
+    if not parts:
+        return np.empty(0, U), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def simhash(xs: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes."""
+    lanes, out = U(0x0001000100010001), np.zeros(len(starts), U)
+    for shift in range(16):
+        sums = np.add.reduceat((xs >> U(shift)) & lanes, starts)
+        for lane in range(4):
+            count = (sums >> U(16 * lane)) & U(0xFFFF)
+            out |= (2 * count > n.astype(U)).astype(U) << U(16 * lane + shift)
+    for k in np.flatnonzero(n >= GIANT_WORDS):
+        run = xs[starts[k] : starts[k] + n[k]]
+        out[k] = sum(1 << b for b in range(64) if 2 * int(((run >> U(b)) & U(1)).sum()) > n[k])
+    return out
+
+
+def least_windows(xs: np.ndarray, rows: np.ndarray, places: np.ndarray, n: np.ndarray, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): least hash of the windows of ``width`` words in each bucket of hashes."""
+    first = np.flatnonzero(places + width <= n[rows])
+    total = np.full(len(first), U(width))
+    for p in range(width):
+        total += xs[first + p] * MULTIPLIERS[p]
+    y, of = mixed(total), rows[first]
+    keys, owners = [], []
+    for bucket in range(buckets):
+        chosen = np.flatnonzero((y & U(buckets - 1)) == U(bucket))
+        if len(chosen):
+            own = of[chosen]
+            begins = np.flatnonzero(np.diff(own, prepend=-1))
+            keys.append(np.minimum.reduceat(y[chosen], begins))
+            owners.append(own[begins])
+    return (np.concatenate(owners), np.concatenate(keys)) if keys else (np.empty(0, np.int64), np.empty(0, U))
+
+
+def left_out(xs: np.ndarray, starts: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): hashes of lines of ``least`` to DELETION_WORDS words, whole and with each word left out."""
+    keys, owners = [np.empty(0, U)], [np.empty(0, np.int64)]
+    for size in range(least, DELETION_WORDS + 1):
+        rows = np.flatnonzero(n == size)
+        words = xs[starts[rows][:, None] + np.arange(size)]
+        for gone in range(size + 1):  # the last turn leaves out none
+            total = np.zeros(len(rows), U)
+            for place, word in enumerate(w for w in range(size) if w != gone):
+                total += words[:, word] * MULTIPLIERS[8 + place]
+            keys.append(mixed(total))
+            owners.append(rows)
+    return np.concatenate(owners), np.concatenate(keys)
+
+
+def signatures(words: tuple[np.ndarray, ...], least_words: int) -> dict[str, np.ndarray]:
+    """Columns of the lines with a word; keys and a SimHash that counts only from ``least_words`` words."""
+    xs, ys, line, sizes = words
+    starts = np.flatnonzero(np.diff(line, prepend=-1))
+    n = np.diff(starts, append=len(xs))
+    rows = np.repeat(np.arange(len(starts)), n)
+    places = np.arange(len(xs)) - starts[rows]
+    order = places.astype(U) * ORDER
+    out = {"line": line[starts], "n": n, "ha": mixed(np.add.reduceat(mixed(xs + order), starts)), "hb": mixed(np.add.reduceat(mixed(ys + order), starts))}
+    sizes = sizes.copy()
+    sizes[starts] -= 1  # no gap is written before a line's first word
+    spaced = np.add.reduceat(sizes, starts)
+    out["size"] = np.maximum(spaced, 1)
+    out["sh"] = simhash(xs, starts, n)
+    found = [left_out(xs, starts, n, least_words)]
+    for (width, buckets), held in ((SHORT_WINDOWS, (n >= max(least_words, WINDOW_LEAST)) & (n <= SHORT_MOST)), (LONG_WINDOWS, n >= max(least_words, LONG_LEAST))):
+        inside = held[rows]
+        if inside.any():
+            sub = np.flatnonzero(inside)
+            found.append(least_windows(xs[sub], rows[sub], places[sub], n, width, buckets))
+    owners, keys = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    by_row = np.argsort(owners, kind="stable")
+    out["keys"], out["ends"] = keys[by_row], np.cumsum(np.bincount(owners, minlength=len(starts)))
+    return out
+
+
+def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are worked on at once."""
+    first, chars = 0, 0
+    for k, text in enumerate(texts):
+        chars += len(text) + 1
+        if chars >= PIECE_CHARS:
+            yield first, k + 1
+            first, chars = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
+SIGNATURE = "id long, th long, no int, n int, size int, ha long, hb long, sh long, keys array<long>"
+
+
+def signature_batches(least_words: int):
+    """For ``mapInArrow`` over (id, th, text)."""
+
+    def run(batches):
+        long = lambda a: pa.array(np.asarray(a).astype(U, copy=False).view(np.int64))
+        for batch in batches:
+            ids, hashes, texts = batch.column("id").to_numpy(), batch.column("th").to_numpy(), batch.column("text").to_pylist()
+            for first, last in groups(texts):
+                words = words_of("\n".join(texts[first:last]))
+                if not len(words[0]):
+                    continue
+                s = signatures(words, least_words)
+                begins = np.concatenate([[0], np.cumsum([t.count("\n") + 1 for t in texts[first:last]])])
+                doc = np.searchsorted(begins, s["line"], side="right") - 1
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], s["ends"]]).astype(np.int32)), long(s["keys"]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[first + doc]), pa.array(hashes[first + doc]), pa.array((s["line"] - begins[doc]).astype(np.int32)), pa.array(s["n"].astype(np.int32)),
+                        pa.array(s["size"].astype(np.int32)), long(s["ha"]), long(s["hb"]), long(np.where(s["n"] >= least_words, s["sh"], U(0))), keys,
+                    ],
+                    ["id", "th", "no", "n", "size", "ha", "hb", "sh", "keys"],
+                )
+
+    return run
+
+
+PICKED = "node long, norm string"
+
+
+def picked_batches(batches):
+    """For ``mapInArrow`` over (text, wants: array of no, node): the wanted lines, normalised."""
+    for batch in batches:
+        nodes, lines = [], []
+        for text, wants in zip(batch.column("text").to_pylist(), batch.column("wants").to_pylist(), strict=True):
+            every = text.split("\n")
+            nodes += [w["node"] for w in wants]
+            lines += [every[w["no"]] for w in wants]
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(normalised(lines), pa.string())], ["node", "norm"])
