@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Widest vectors whose terms are written out; the compiled method of wider ones would be too long to be optimised.
+MOST_UNROLLED = 72
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -48,18 +52,25 @@ def rounded(x: Column, digits: int = 8) -> Column:
     return F.round(x + F.lit(nudge(digits)), digits) + F.lit(0.0)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _sum(a: Column, b: Column, term, width: int | None) -> Column:
+    """Sum of a term over two vectors: one generated expression for a known width, a fold else."""
+    if width is None or width > MOST_UNROLLED:
+        return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, x: s + x)
+    return reduce(lambda s, x: s + x, (term(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(width)), F.lit(0.0))
+
+
+def dot(a: Column, b: Column, width: int | None = None) -> Column:
+    return _sum(a, b, lambda x, y: x * y, width)
 
 
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def euclidean(a: Column, b: Column, width: int | None = None) -> Column:
+    return F.sqrt(_sum(a, b, lambda x, y: (x - y) * (x - y), width))
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: Column, b: Column, width: int | None = None) -> Column:
     """1 - similarity; 1 if one vector is zero, 0 if both are; similarity is clipped to [-1, 1]."""
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
-    similarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), na * nb)))
+    na, nb = F.sqrt(dot(a, a, width)), F.sqrt(dot(b, b, width))
+    similarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b, width), na * nb)))
     return F.when((na == 0) & (nb == 0), F.lit(0.0)).when((na == 0) | (nb == 0), F.lit(1.0)).otherwise(1 - similarity)
 
 

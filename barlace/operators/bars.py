@@ -8,6 +8,7 @@ so no window spans the whole table.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,37 @@ from pyspark.sql import types as T
 from ..functions.scalars import finite, masked
 from ..plans.config import Config
 
-REQUIRED = ["timestamp", "open", "high", "low", "close", "volume"]
+PRICES = ("open", "high", "low", "close")
+REQUIRED = ["timestamp", *PRICES, "volume"]
+#: How each rule that bars can break is put into words.
+WORDING = {
+    "repeated_column": "column {column} stands more than once",
+    "absent_column": "column {column} is not there",
+    "not_numeric": "column {column} holds no numbers",
+    "not_a_time": "column {column} holds no times",
+    "no_rows": "there are no bars",
+    "time_absent": "{rows} bars have no time",
+    "time_repeated": "{rows} bars repeat the time of another",
+    "price": "{column}: {rows} values are not finite or not above zero",
+    "volume": "{column}: {rows} values are not finite or below zero",
+    "enclosure": "{rows} bars whose low and high do not enclose open and close",
+    "foreign_symbol": "{rows} bars are of another symbol than {detail}",
+    "off_grid": "{rows} bars end at no time of the session grid",
+    "coverage": "session {detail} holds too few of its bars",
+}
+
+
+@dataclass(frozen=True)
+class Fault:
+    """A broken rule, with the column, the number of rows or the detail that it concerns."""
+
+    rule: str
+    column: str | None = None
+    rows: int | None = None
+    detail: str | None = None
+
+    def __str__(self) -> str:
+        return WORDING[self.rule].format(column=self.column, rows=self.rows, detail=self.detail)
 
 
 @dataclass
@@ -36,11 +67,12 @@ class QualityReport:
 
 
 class BarDataError(ValueError):
-    """Rejected bars, with the report so far."""
+    """Rejected bars: the faults found, and the report so far."""
 
-    def __init__(self, message: str, report: QualityReport):
-        super().__init__(message)
-        self.report = report
+    def __init__(self, faults: list[Fault], report: QualityReport):
+        report.errors += map(str, faults)
+        super().__init__("; ".join(report.errors))
+        self.faults, self.report = faults, report
 
 
 def _count_if(condition: Column) -> Column:
@@ -95,60 +127,66 @@ def off_grid(bars: DataFrame, grid: DataFrame) -> DataFrame:
     return bars.join(grid.select("t"), "t", "left_anti")
 
 
+def schema_faults(bars: DataFrame) -> list[Fault]:
+    """What the columns alone tell."""
+    kinds = {f.name: f.dataType for f in bars.schema.fields}
+    faults = [Fault("repeated_column", c) for c, n in Counter(bars.columns).items() if n > 1]
+    faults += [Fault("absent_column", c) for c in REQUIRED if c not in kinds]
+    numbers = [c for c in (*PRICES, "volume", "vwap") if c in kinds and not isinstance(kinds[c], T.NumericType)]
+    faults += [Fault("not_numeric", c) for c in numbers]
+    if "t" not in kinds and "timestamp" in kinds and not isinstance(kinds["timestamp"], T.TimestampType | T.TimestampNTZType):
+        faults.append(Fault("not_a_time", "timestamp"))
+    return faults
+
+
+def at_bar_end(bars: DataFrame, config: Config) -> DataFrame:
+    """Adds ``t``, the end of a bar in epoch seconds; times that label the start of a bar move by its length."""
+    shift = config.bar_minutes if config.data.timestamp_label == "start" else 0
+    moved = bars.withColumn("timestamp", F.expr(f"timestamp + interval {shift} minutes")) if shift else bars
+    return moved.withColumn("t", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(timestamp as timestamp_ntz))"))
+
+
+def value_faults(counts: dict) -> list[Fault]:
+    """What the counters of ``quality_counts`` tell about values."""
+    held = {("price", c): f"bad_{c}" for c in (*PRICES, "vwap")} | {("volume", "volume"): "bad_volume", ("enclosure", None): "ohlc_violations"}
+    return [Fault(rule, column, counts[name]) for (rule, column), name in held.items() if counts.get(name)]
+
+
 def validate_bars(bars: DataFrame, grid: DataFrame, config: Config) -> tuple[DataFrame, QualityReport]:
-    """Canonical bars with session columns and segments, or BarDataError with all faults found.
+    """Canonical bars with session columns and segments, or BarDataError.
 
-    Faults of structure (columns, times) are raised at once, all others together.
-    The file order of rows cannot be known after a distributed scan, so times
-    must be unique, and are ordered here.
+    Bars are judged in three steps, each of which reports all it finds: columns,
+    then times, then values, symbol, grid and coverage together.  A column ``t`` is
+    taken as the end of the bar.  The file order of rows cannot be known after a
+    distributed scan, so times must be unique, and are ordered here.
     """
     report = QualityReport()
-    if len(set(bars.columns)) != len(bars.columns):
-        raise BarDataError("column names must be unique", report)
-    if missing := [c for c in REQUIRED if c not in bars.columns]:
-        raise BarDataError(f"missing required columns: {', '.join(missing)}", report)
-    kinds = {f.name: f.dataType for f in bars.schema.fields}
-    wrong = [c for c in REQUIRED[1:] if not isinstance(kinds[c], T.NumericType)]
-    report.errors += [f"{c} must be numeric" for c in wrong]
-    if wrong:
-        raise BarDataError("; ".join(report.errors), report)
-    if "t" not in bars.columns:
-        if not isinstance(kinds["timestamp"], T.TimestampType | T.TimestampNTZType):
-            raise BarDataError("timestamp must be a timestamp", report)
-        bars = bars.withColumn("t", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(timestamp as timestamp_ntz))"))
-    if config.data.timestamp_label == "start":
-        bars = bars.withColumns({"t": F.col("t") + config.bar_minutes * 60, "timestamp": F.expr(f"timestamp + interval {config.bar_minutes} minutes")})
-    found = quality_counts(bars).first()
-    report.number_of_bars, report.duplicate_timestamps = found["n_bars"], found["n_duplicates"]
-    if not found["n_bars"]:
-        raise BarDataError("no bars", report)
-    if found["n_null_timestamps"] or found["n_duplicates"]:
-        raise BarDataError("timestamps must be present and unique", report)
-    report.date_range = {"start": found["first_t"], "end": found["last_t"]}
-    for c in ("open", "high", "low", "close"):
-        if found[f"bad_{c}"]:
-            report.errors.append(f"{c} must be finite positive: {found[f'bad_{c}']} invalid bars")
-    if found["bad_volume"]:
-        report.errors.append(f"volume must be finite nonnegative: {found['bad_volume']} invalid bars")
-    report.ohlc_consistency_violations = found["ohlc_violations"]
-    if found["ohlc_violations"]:
-        report.errors.append(f"OHLC consistency violations: {found['ohlc_violations']}")
-    if "vwap" in bars.columns and found["bad_vwap"]:
-        report.errors.append("vendor vwap must contain finite positive values")
-    if "symbol" in bars.columns and bars.agg(F.bool_and(F.coalesce(F.col("symbol") == config.symbol, F.lit(False))).alias("ok")).first()["ok"] is False:
-        report.errors.append(f"bar symbol does not match {config.symbol}")
-    stray = off_grid(bars, grid).count()
-    if stray:
-        report.errors.append(f"{stray} bars are outside regular trading hours or not aligned to the interval")
+
+    def stop_at(faults: list[Fault]) -> None:
+        if faults:
+            raise BarDataError(faults, report)
+
+    stop_at(schema_faults(bars))
+    bars = bars if "t" in bars.columns else at_bar_end(bars, config)
+    counts = quality_counts(bars).first().asDict()
+    report.number_of_bars, report.duplicate_timestamps, report.ohlc_consistency_violations = counts["n_bars"], counts["n_duplicates"], counts["ohlc_violations"]
+    times = {"time_absent": "n_null_timestamps", "time_repeated": "n_duplicates"}
+    stop_at([Fault("no_rows")] if not counts["n_bars"] else [Fault(rule, rows=counts[name]) for rule, name in times.items() if counts[name]])
+    report.date_range = {"start": counts["first_t"], "end": counts["last_t"]}
+    faults = value_faults(counts)
+    if "symbol" in bars.columns:
+        foreign = bars.where(~F.col("symbol").eqNullSafe(config.symbol)).count()
+        faults += [Fault("foreign_symbol", "symbol", foreign, config.symbol)] if foreign else []
+    if stray := off_grid(bars, grid).count():
+        faults.append(Fault("off_grid", rows=stray))
     for row in session_coverage(bars, grid).orderBy("session").collect():  # one row for each scheduled session
         day = row["session"].isoformat()
         report.scheduled_session_count += 1
         report.number_of_sessions += row["observed"] > 0
         report.missing_bars_by_session[day], report.session_coverage[day] = row["missing"], row["coverage"]
-        if row["observed"] and row["coverage"] < config.data.min_session_coverage:
-            report.errors.append(f"session {day} coverage {row['coverage']:.3f} is below minimum {config.data.min_session_coverage:.3f}")
-    if report.errors:
-        raise BarDataError("; ".join(report.errors), report)
+        if 0 < row["observed"] < config.data.min_session_coverage * row["expected"]:
+            faults.append(Fault("coverage", rows=row["observed"], detail=f"{day} ({row['observed']} of {row['expected']})"))
+    stop_at(faults)
     prepared = bars.drop("session", "session_index", "minute_of_session", "segment_id").join(grid, "t")
     gaps = largest_gaps(prepared).collect()  # ten rows
     report.largest_timestamp_gaps = [{"start": g["start_t"], "end": g["end_t"], "minutes": g["seconds"] / 60} for g in gaps]
@@ -172,6 +210,10 @@ def with_segments(bars: DataFrame, minutes: int, by: list[str] = ()) -> DataFram
 
 def causal_features(bars: DataFrame, window: int, by: list[str] = ()) -> DataFrame:
     """log_return, realized_volatility, range_fraction, session_vwap, vwap_distance, day_of_week; warm-ups are null."""
+    if lacking := sorted({"t", "session", "segment_id", "open", "high", "low", "close", "volume", *by} - set(bars.columns)):
+        raise ValueError(f"prepared bars lack {', '.join(lacking)}")
+    if window < 2:
+        raise ValueError("a volatility needs two returns or more")
     run = W.partitionBy(*by, "session", "segment_id").orderBy("t")
     last = run.rowsBetween(-(window - 1), 0)
     day = W.partitionBy(*by, "session").orderBy("t").rowsBetween(W.unboundedPreceding, 0)

@@ -9,12 +9,19 @@ split by the adaptive skew join.  Whatever embargo is asked for is a filter on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DISTANCES, hard_sign, momentum
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 SUMMARY = ["mean", "median", "probability_up", "q10", "q25", "q75", "q90", "return_std", "effective_neighbor_count", "distance_mean", "distance_min", "distance_max"]
 
 
@@ -42,37 +49,89 @@ def by_embargo(pairs: DataFrame, embargoes: list[int]) -> DataFrame:
     return pairs.withColumn("embargo_sessions", F.explode(F.lit(embargoes).cast("array<int>"))).where(allowed(F.col("embargo_sessions"), F.col("gap")))
 
 
+def capped(pairs: DataFrame, cap: int, keys: list[str], group: str, order: list[str] = ("distance", "c_t")) -> DataFrame:
+    """The ``cap`` nearest of each group of a key; ties go to the earlier candidate."""
+    if cap < 1:
+        raise ValueError("cap is 1 or more")
+    own = W.partitionBy(*keys, group).orderBy(*order)
+    return pairs.withColumn("_in_group", F.row_number().over(own)).where(F.col("_in_group") <= cap).drop("_in_group")
+
+
+def nearest(pairs: DataFrame, k: int, keys: list[str], order: list[str] = ("distance", "c_t")) -> DataFrame:
+    """The k nearest per key, with ``rank``."""
+    if k < 1:
+        raise ValueError("k is 1 or more")
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def capped_nearest(pairs: DataFrame, k: int, cap: int, keys: list[str], group: str = "c_session", order: list[str] = ("distance", "c_t")) -> DataFrame:
-    """The k nearest per key, at most ``cap`` of each group; ties go to the earlier candidate.
+    """The k nearest per key, at most ``cap`` of each group.
 
     Both filters are on row_number, so Spark drops rows before it shuffles.  The
     cap drops only rows that the greedy choice would skip, so both agree.
     """
-    if k < 1 or cap < 1:
-        raise ValueError("k and cap are 1 or more")
-    own = W.partitionBy(*keys, group).orderBy(*order)
-    every = W.partitionBy(*keys).orderBy(*order)
-    near = pairs.withColumn("_in_group", F.row_number().over(own)).where(F.col("_in_group") <= cap).drop("_in_group")
-    return near.withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= k)
+    return nearest(capped(pairs, cap, keys, group, order), k, keys, order)
 
 
-def with_distance(pairs: DataFrame, a: str, b: str, metric: str) -> DataFrame:
+def with_distance(pairs: DataFrame, a: str, b: str, metric: str, width: int | None = None) -> DataFrame:
     """Adds the distance of two vectors and drops them, so that they stay out of later shuffles."""
-    return pairs.withColumn("distance", DISTANCES[metric](F.col(a), F.col(b))).drop(a, b)
+    return pairs.withColumn("distance", DISTANCES[metric](F.col(a), F.col(b), width)).drop(a, b)
+
+
+#: Items and queries of a block: at most so many vectors of either side meet in one task.
+BLOCK_ROWS = 8192
+#: Numbers of the largest array of differences within a task.
+CHUNK_CELLS = 1 << 22
+
+
+def _block_pairs(queries: np.ndarray, items: np.ndarray, metric: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, distances) for runs of queries against all items of a block, element by element, so equal vectors tie."""
+    norms = [np.sqrt((x * x).sum(axis=1)) for x in (queries, items)]
+    step = max(1, CHUNK_CELLS // max(1, items.size))
+    for first in range(0, len(queries), step):
+        some = queries[first : first + step, None, :]
+        if metric == "euclidean":
+            yield first, np.sqrt(((some - items[None]) ** 2).sum(axis=2))
+            continue
+        a, b = norms[0][first : first + step, None], norms[1][None]
+        whole = a * b
+        similarity = np.divide((some * items[None]).sum(axis=2), whole, out=np.zeros_like(whole), where=whole > 0)
+        yield first, np.where((a == 0) & (b == 0), 0.0, np.where(whole == 0, 1.0, 1 - np.clip(similarity, -1, 1)))
 
 
 def exact_knn(queries: DataFrame, items: DataFrame, k: int, cap: int, metric: str = "euclidean") -> DataFrame:
     """Neighbours of (q, qv) among (id, grp, v): (q, id, grp, distance, rank); the item itself does not count.
 
-    Queries are a stated set.  They go over all items in blocks: items are dealt
-    into blocks by a hash, each query visits each block, and every block keeps
-    its best before anything is shuffled again.
+    Queries are a stated set.  Both sides are dealt by a hash into blocks of about
+    BLOCK_ROWS rows, as many as a count asks for; each block of queries meets each
+    block of items in a task of its own, which keeps the ``cap`` nearest of each group.
+    So no task holds more than two blocks, and only what the cap leaves is shuffled.
     """
-    blocks = 32
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = items.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    pairs = with_distance(left.join(right, "block").where("q <> id").select("q", "qv", "id", "grp", "v"), "qv", "v", metric)
-    return capped_nearest(pairs, k, cap, ["q"], "grp", ["distance", "id"])
+    if metric not in DISTANCES:
+        raise ValueError(f"unknown distance {metric}")
+    spread = lambda table, name: (max(1, -(-table.count() // BLOCK_ROWS)), F.xxhash64(name))
+    (n_q, by_q), (n_i, by_i) = spread(queries, "q"), spread(items, "id")
+    deal = lambda n, by: F.pmod(by, F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("q", "qv", deal(n_q, by_q).alias("bq"), all_of(n_i).alias("bi"))
+    right = items.select("id", "grp", "v", deal(n_i, by_i).alias("bi"), all_of(n_q).alias("bq"))
+    kind = dict(queries.dtypes)["q"], dict(items.dtypes)["id"], dict(items.dtypes)["grp"]
+
+    def best(some: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
+        parts = []
+        if len(some) and len(every):
+            every = every.sort_values("id", kind="stable").reset_index(drop=True)
+            for first, distances in _block_pairs(np.stack(some["qv"].to_numpy()), np.stack(every["v"].to_numpy()), metric):
+                rows = np.repeat(np.arange(len(distances)), len(every))
+                near = pd.DataFrame({"q": some["q"].to_numpy()[first + rows], "id": np.tile(every["id"].to_numpy(), len(distances)), "grp": np.tile(every["grp"].to_numpy(), len(distances)), "distance": distances.ravel()})
+                near = near[near["q"] != near["id"]].sort_values("distance", kind="stable")
+                parts.append(near[near.groupby(["q", "grp"], dropna=False).cumcount() < cap])
+        return pd.concat(parts) if parts else pd.DataFrame({"q": [], "id": [], "grp": [], "distance": []})
+
+    found = left.groupBy("bq", "bi").cogroup(right.groupBy("bq", "bi")).applyInPandas(best, f"q {kind[0]}, id {kind[1]}, grp {kind[2]}, distance double")
+    return capped_nearest(found, k, cap, ["q"], "grp", ["distance", "id"])
 
 
 def summary_columns(value: str, distance: str | None = None) -> list[Column]:

@@ -148,6 +148,7 @@ class Config:
     def __post_init__(self):
         _need(bool(re.fullmatch(r"[1-9][0-9]*m", self.bar_interval)), "bar_interval looks like 5m")
         _need(bool(re.fullmatch(r"[A-Z][A-Z0-9.\-]*", self.symbol)), "symbol is upper case")
+        _need(self.regular_hours_only is True, "only regular hours are supported: bars off the session grid are rejected")
         _need(self.context_bars >= 1, "context_bars is 1 or more")
         h = list(self.horizons_minutes)
         _need(bool(h) and h == sorted(set(h)) and all(x > 0 and x % self.bar_minutes == 0 for x in h), "horizons are unique, increasing, positive multiples of the bar")

@@ -25,19 +25,17 @@ from .store import keep
 
 
 def load_and_validate(spark: SparkSession, config: Config):
-    """(canonical bars, report)."""
+    """(canonical bars, report).  Bars are moved to their ends before the days of the grid are taken from them; bars off the grid are rejected."""
     bars = ParquetBars(spark, config.data.path).load(config.symbol)
-    if "t" not in bars.columns:
-        bars = bars.withColumn("t", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(timestamp as timestamp_ntz))"))
+    if faults := ops.schema_faults(bars):
+        raise ops.BarDataError(faults, ops.QualityReport())
+    bars = ops.at_bar_end(bars.drop("t"), config)
     limits = bars.agg(F.min("t"), F.max("t")).first()
     if limits[0] is None:
-        raise ops.BarDataError("no bars", ops.QualityReport())
+        raise ops.BarDataError([ops.Fault("no_rows")], ops.QualityReport())
     days = [datetime.fromtimestamp(x, timezone.utc).date() for x in limits]
     maker = calendar.day_calendar if config.data.calendar == "DAYS" else calendar.xnys_calendar
-    grid = calendar.bar_grid(maker(spark, *days), config.bar_minutes)
-    if config.regular_hours_only and config.data.calendar != "DAYS":
-        return ops.validate_bars(bars, grid, config)
-    return ops.validate_bars(bars.join(grid.select("t"), "t", "left_semi"), grid, config)
+    return ops.validate_bars(bars, calendar.bar_grid(maker(spark, *days), config.bar_minutes), config)
 
 
 def checksum(path: str) -> str:

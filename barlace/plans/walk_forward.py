@@ -129,16 +129,20 @@ def unconditional_pairs(w: WalkForward, queries: DataFrame) -> DataFrame:
     return rt.by_embargo(rt.available_pairs(queries.select("refit_id", "q_t", "q_session"), c, returns(w)), w.config.embargoes)
 
 
-def neighbor_pairs(w: WalkForward, queries: DataFrame, query_vectors: str = "q_vector", candidates: DataFrame | None = None) -> DataFrame:
+def neighbor_pairs(w: WalkForward, queries: DataFrame, query_vectors: str = "q_vector", candidates: DataFrame | None = None, width: int | None = None) -> DataFrame:
     """Capped nearest neighbours for each embargo: refit, q_t, embargo, c_t, c_session, distance, rank, returns.
 
-    Distances are computed once for all embargoes; vectors leave before the next shuffle.
+    Distances are computed once for all embargoes, vectors leave before the next
+    shuffle, and the cap of a session, on which no embargo has a say, comes before the
+    pairs are multiplied by the embargoes.
     """
     r = w.config.retrieval
+    if candidates is None:
+        width = w.config.context_bars * len(w.config.features.columns)
     c = (w.candidates if candidates is None else candidates).select("refit_id", "c_t", "c_session", "c_known", "c_vector")
     pairs = rt.available_pairs(queries.select("refit_id", "q_t", "q_session", F.col(query_vectors).alias("q_vector")), c, ["q_vector", "c_vector"])
-    near = rt.by_embargo(rt.with_distance(pairs, "q_vector", "c_vector", r.distance), w.config.embargoes)
-    chosen = rt.capped_nearest(near, r.k, r.max_neighbors_per_session, KEYS)
+    near = rt.capped(rt.with_distance(pairs, "q_vector", "c_vector", r.distance, width), r.max_neighbors_per_session, ["refit_id", "q_t"], "c_session")
+    chosen = rt.nearest(rt.by_embargo(near, w.config.embargoes), r.k, KEYS)
     labels = w.candidates.select("refit_id", "c_t", *returns(w))
     return chosen.join(labels, ["refit_id", "c_t"])
 
@@ -175,11 +179,11 @@ def forecasts(w: WalkForward, models: DataFrame | None = None, methods: tuple[st
     }
     parts = [makers[m]() for m in methods]
     if models is not None:
-        latent = trajectories(w, models, w.config.bar_minutes * 60)
-        for method, vector in (("hmm_current", "current"), ("hmm_trajectory", "trajectory")):
+        latent, states = trajectories(w, models, w.config.bar_minutes * 60), w.config.hmm.n_states
+        for method, vector, width in (("hmm_current", "current", states), ("hmm_trajectory", "trajectory", states * w.config.context_bars)):
             q = queries.join(latent.select("refit_id", F.col("t").alias("q_t"), F.col(vector).alias("q_latent")), ["refit_id", "q_t"])
             c = w.candidates.drop("c_vector").join(latent.select("refit_id", F.col("t").alias("c_t"), F.col(vector).alias("c_vector")), ["refit_id", "c_t"])
-            parts.append(rt.cohort_forecast(neighbor_pairs(w, q, "q_latent", c), queries, method, hs, KEYS, "distance"))
+            parts.append(rt.cohort_forecast(neighbor_pairs(w, q, "q_latent", c, width), queries, method, hs, KEYS, "distance"))
     out = reduce(lambda a, b: a.unionByName(b), parts)
     about = queries.select("refit_id", "q_t", "q_date", "q_session", "q_minute", "context_start", F.explode(F.create_map(*(x for h in hs for x in (F.lit(h), F.col(f"q_outcome_{h}m"))))).alias("horizon_minutes", "outcome_end"))
     limits = w.blocks.select("refit_id", F.col("first_t").alias("refit_block_start"))
@@ -194,7 +198,8 @@ def forecasts(w: WalkForward, models: DataFrame | None = None, methods: tuple[st
 
 
 def fit_models(w: WalkForward) -> DataFrame:
-    return hmm.fit_refits(w.panel, w.config.features.columns, w.config.hmm, w.config.bar_minutes * 60)
+    hmm.check_input(w.panel, w.config.features.columns)
+    return hmm.fit_refits(w.panel, w.config.features.columns, w.config.hmm)
 
 
 def neighbor_audit(w: WalkForward, queries: DataFrame) -> DataFrame:
