@@ -1,0 +1,158 @@
+"""Which pairs of strings lie within a given edit distance, for many pairs at once.
+
+Equal starts and ends of a pair are cut off first; that changes no distance and settles
+pairs with one place of change.  The others are worked on by bit vectors, 64 rows of the
+distance table to a word: numpy does all words of a wave (each word one column behind the
+word above it) for all pairs of a chunk in one step, within the band that the distance
+allows.  Long pairs, and chunks of few, use one Python integer a column in place of words.
+
+Every decision is exact.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+U = np.uint64
+#: Characters beyond which a pair is worked on by itself, and pairs below which a chunk is not worth a wave.
+LONG_CHARS, FEW_PAIRS = 4096, 16
+#: Bytes of the bit masks of a chunk.
+CHUNK_BYTES = 1 << 25
+CHUNK_PAIRS = 4096
+
+
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """The strings without what they have in common at either end."""
+    for turn in (0, 1):
+        low, high = 0, min(len(a), len(b))
+        while low < high:  # longest common start, by halving
+            middle = (low + high + 1) // 2
+            if (a[low:middle] == b[low:middle]) if not turn else (a[len(a) - middle : len(a) - low] == b[len(b) - middle : len(b) - low]):
+                low = middle
+            else:
+                high = middle - 1
+        a, b = (a[low:], b[low:]) if not turn else (a[: len(a) - low], b[: len(b) - low])
+    return a, b
+
+
+def within_one(a: str, b: str, most: int) -> bool:
+    """One pair, one integer of len(b) bits a column."""
+    masks: dict[str, int] = {}
+    for k, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | 1 << k
+    every = (1 << len(b)) - 1
+    last, up, down, score, left = 1 << (len(b) - 1), every, 0, len(b), len(a)
+    for c in a:
+        eq = masks.get(c, 0)
+        same = (((eq & up) + up) ^ up) | eq | down
+        right_up, right_down = down | (every & ~(same | up)), same & up
+        score += 1 if right_up & last else -1 if right_down & last else 0
+        left -= 1
+        if score - left > most:  # each column left takes one off at most
+            return False
+        right_up, right_down = right_up << 1 | 1, right_down << 1
+        up, down = (right_down | ~(same | right_up)) & every, right_up & same & every
+    return score <= most
+
+
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    return flat, np.array([len(s) for s in strings])
+
+
+def within_wave(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """The pairs (none empty) whose distance is at most ``most``."""
+    count = len(pairs)
+    # those that end last come first, so the pairs still open are always the first ones
+    order = np.argsort([-len(b) - (len(a) - 1) // 64 for a, b in pairs], kind="stable")
+    flat, lengths = _codes([pairs[k][0] for k in order] + [pairs[k][1] for k in order])
+    seen = np.zeros(int(flat.max()) + 1, bool)
+    seen[flat] = True
+    flat, letters = (np.cumsum(seen) - 1)[flat], int(seen.sum())
+    m, n = lengths[:count], lengths[count:]
+    blocks, columns, band = -(-int(m.max()) // 64), int(n.max()), int(most.max())
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    # masks[block, character, pair]: rows of the block at which the first string has the character
+    masks = np.zeros((blocks, letters + 1, count), U)
+    for row in range(int(m.max())):
+        held = np.flatnonzero(m > row)
+        masks[row >> 6, flat[starts[held] + row], held] |= U(1) << U(row & 63)
+    masks = masks.reshape(blocks, -1)
+    text = np.full((columns, count), letters, np.int64)  # beyond its end a string has a character of no mask
+    for column in range(columns):
+        held = np.flatnonzero(n > column)
+        text[column, held] = flat[starts[count + held] + column]
+    text = text * count + np.arange(count)
+    first = np.maximum(0, 64 * np.arange(blocks) - band)
+    final = np.minimum(columns - 1, 64 * np.arange(blocks) + 64 + band)
+    enter, leave = first + np.arange(blocks), final + np.arange(blocks)
+    up, down = np.full((blocks, count), ~U(0)), np.zeros((blocks, count), U)
+    bottom = np.repeat(64 * (np.arange(blocks) + 1)[:, None], count, axis=1)
+    plus, minus = np.ones((blocks + 1, count), U), np.zeros((blocks + 1, count), U)  # what comes into a block from above
+    end = (m - 1) // 64
+    beyond = np.where(m % 64 == 0, U(0), ~U(0) << (m % 64).astype(U))
+    done = n - 1 + end
+    ends = np.searchsorted(-done, -np.arange(columns + blocks), side="right")  # pairs that end at a step or later
+    result = np.zeros(count, np.int64)
+    low = high = 0
+    for t in range(int(done[0]) + 1):
+        while high < blocks and enter[high] <= t:
+            if first[high]:  # so far the rows above have moved on without this block
+                above = high - 1
+                bottom[high] = bottom[above] - plus[high].astype(np.int64) + minus[high].astype(np.int64) + 64
+            high += 1
+        while low < high and leave[low] < t:
+            low += 1
+            plus[low], minus[low] = 1, 0
+        live = ends[t]
+        if low < high:
+            b = np.arange(low, high)
+            eq = masks[b[:, None], text[t - b, :live]]
+            vp, vn, hp, hn = up[low:high, :live], down[low:high, :live], plus[low:high, :live], minus[low:high, :live]
+            xv = eq | vn
+            eq |= hn
+            xh = (((eq & vp) + vp) ^ vp) | eq
+            ph, mh = vn | ~(xh | vp), vp & xh
+            out_plus, out_minus = ph >> U(63), mh >> U(63)
+            ph, mh = (ph << U(1)) | hp, (mh << U(1)) | hn
+            up[low:high, :live], down[low:high, :live] = mh | ~(xv | ph), ph & xv
+            bottom[low:high, :live] += out_plus.view(np.int64) - out_minus.view(np.int64)
+            plus[low + 1 : high + 1, :live], minus[low + 1 : high + 1, :live] = out_plus, out_minus
+        over = slice(ends[t + 1] if t + 1 < len(ends) else 0, live)
+        at = end[over], np.arange(over.start, over.stop)
+        result[over] = bottom[at] - np.bitwise_count(up[at] & beyond[over]).astype(np.int64) + np.bitwise_count(down[at] & beyond[over]).astype(np.int64)
+    found = np.zeros(count, bool)
+    found[order] = result <= most[order]
+    return found
+
+
+def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its bound."""
+    found = np.zeros(len(pairs), bool)
+    open_pairs = []
+    for k, ((a, b), limit) in enumerate(zip(pairs, most, strict=True)):
+        if abs(len(a) - len(b)) > limit:
+            continue
+        a, b = trimmed(a, b)
+        if max(len(a), len(b)) <= limit:
+            found[k] = True
+        elif a and b:  # else the distance is the longer length, which is beyond the bound
+            open_pairs.append((max(len(a), len(b)), k, a, b))
+    open_pairs.sort(key=lambda p: p[0])
+    at = 0
+    while at < len(open_pairs):
+        size, to, letters = open_pairs[at][0], at, set()
+        while to < len(open_pairs) and to - at < CHUNK_PAIRS and open_pairs[to][0] <= min(LONG_CHARS, 2 * size + 64):
+            letters.update(open_pairs[to][2])
+            if (to - at + 1) * (len(letters) + 1) * (open_pairs[to][0] // 64 + 1) * 8 > CHUNK_BYTES:
+                break
+            to += 1
+        if to - at >= FEW_PAIRS:
+            chunk = open_pairs[at:to]
+            found[[p[1] for p in chunk]] = within_wave([(p[2], p[3]) for p in chunk], np.array([most[p[1]] for p in chunk]))
+        else:
+            to = max(to, at + 1)
+            for _, k, a, b in open_pairs[at:to]:
+                found[k] = within_one(a, b, most[k])
+        at = to
+    return found

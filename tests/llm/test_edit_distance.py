@@ -1,0 +1,53 @@
+"""Bit-vector edit distances against the plain table."""
+
+import random
+
+import numpy as np
+import pytest
+
+from barlace.llm import edit_distance
+
+
+def table_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def changed(rng, text, changes):
+    b = list(text)
+    for _ in range(changes):
+        k, kind = rng.randrange(len(b) + 1), rng.random()
+        if kind < 0.4 and k < len(b):
+            b[k] = rng.choice("abcdeé\U0001f600")
+        elif kind < 0.7 or len(b) < 2:
+            b.insert(k, rng.choice("abcd"))
+        else:
+            del b[min(k, len(b) - 1)]
+    return "".join(b)
+
+
+@pytest.mark.parametrize("size", [1, 2, 30, 63, 64, 65, 127, 129, 200, 330])
+def test_every_decision_is_exact(size):
+    rng = random.Random(size)
+    pairs = []
+    for _ in range(40):
+        a = "".join(rng.choice("abcd") for _ in range(max(1, size + rng.randint(-4, 4))))
+        pairs.append((a, changed(rng, a, rng.randint(0, 1 + size // 3))))
+    most = [max(map(len, p)) * rng.choice([0, 5, 10, 20, 30, 100]) // 100 for p in pairs]
+    want = [table_distance(a, b) <= m for (a, b), m in zip(pairs, most, strict=True)]
+    assert edit_distance.within_wave(pairs, np.array(most)).tolist() == want
+    assert [edit_distance.within_one(a, b, m) for (a, b), m in zip(pairs, most, strict=True)] == want
+    assert edit_distance.within(pairs, most).tolist() == want
+
+
+def test_empty_long_and_mixed_pairs():
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(9000))
+    pairs = [("", ""), ("", "abc"), ("abc", ""), ("abc", "abc"), (long, long), (long, long[:4000] + "x" + long[4001:]), (long, changed(rng, long, 300)), (long, long[::-1])]
+    most = [0, 3, 2, 0, 0, 1, 300, 900]
+    assert edit_distance.within(pairs, most).tolist() == [True, True, False, True, True, True, True, False]
+    assert edit_distance.within([], []).tolist() == []
