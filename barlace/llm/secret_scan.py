@@ -1,14 +1,18 @@
 """Operator 8: secret scans by fixed patterns and a linear-chain conditional random field.
 
 The patterns give the base spans.  The field tags tokens as secret begin (B),
-inside (I) or outside (O).  Its features are the token's shape, the words beside
-it and features of the whole text.  A token may only be B or I if it is
-*admissible*: eight characters or more with a letter and a digit.  All others
-are O by that constraint, so the chain falls apart into runs of neighbouring
-admissible tokens, and Viterbi over a run gives the same labels as Viterbi over
-the whole text.  The field is trained here by gradient ascent on the
-log-likelihood of sentences that a rule makes.  A span of the field is added
-unless it meets a base span.
+inside (I) or outside (O).  Its features are the token's shape (``own_features``), the
+words and marks beside it (``context_features``) and features of the whole text.  It is
+trained here by gradient ascent on the log-likelihood of sentences that a rule makes,
+with every secret of theirs labelled, of letters or of digits alone as well.  A span of
+the field is added unless it meets a base span.
+
+Viterbi runs over all tokens that can be labelled B or I at all: a token is *closed* if
+its own weights, with the most favourable weights of every context feature and of both
+transitions added, still prefer O; once for places near a cue word, and once for all
+others.  Closed tokens are O; what is left falls into runs of neighbours that are decoded
+one by one.  Which tokens are closed follows from the learned weights alone, and is looked
+up once a token in a bounded cache.
 
 Offsets count code points, ends are exclusive.
 
@@ -40,12 +44,13 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "crf")
 CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"akia")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*|[^\sA-Za-z0-9]")
-LEAST_ADMISSIBLE = 8
+TOKEN = re.compile(r"[\w+/=-]+(?:\.[\w+/=-]+)*|[^\s\w]")
 LABELS = ("O", "B", "I")
 #: Sentences that the field is trained on.
-TRAIN_SENTENCES = 900
-TRAIN_STEPS = 150
+TRAIN_SENTENCES = 1600
+TRAIN_STEPS = 120
+#: Tokens whose own scores are kept before the cache starts anew.
+CACHE_TOKENS = 300_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -55,10 +60,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def admissible(token: str) -> bool:
-    return len(token) >= LEAST_ADMISSIBLE and any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-
-
 def entropy(token: str) -> float:
     return -sum(n / len(token) * math.log2(n / len(token)) for n in Counter(token).values())
 
@@ -69,45 +70,67 @@ def shape(token: str) -> str:
     return "".join(k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k)
 
 
-def file_features(tokens: list[str]) -> list[str]:
-    words = {t.lower() for t in tokens}
-    many = sum(map(admissible, tokens))
-    return [f"file:cue={bool(words & FILE_CUES)}", f"file:admissible={min(many.bit_length(), 4)}"]
+# Fixed words that announce a secret, and words that announce other values or prose; the field learns their weights.
+CUE_WORDS = {
+    "access", "apikey", "auth", "authorization", "bearer", "config", "credential", "credentials", "env", "export", "key", "keys", "login", "pass", "passphrase", "passwd", "password", "passwords",
+    "pin", "private", "pwd", "secret", "secrets", "signature", "signing", "token", "tokens",
+}
+OTHER_WORDS = {
+    "a", "account", "an", "and", "at", "build", "by", "call", "card", "code", "commit", "count", "date", "file", "for", "from", "id", "in", "invoice", "is", "isbn", "it", "mail", "model", "no", "number", "of", "on", "or",
+    "order", "page", "part", "phone", "release", "room", "see", "tel", "that", "the", "ticket", "to", "use", "uses", "version", "was", "with",
+}
+#: How far before and behind a token a cue word counts as near.
+BEFORE, BEHIND = 6, 3
 
 
-# Fixed words that make a text look like configuration or code.
-FILE_CUES = {"key", "secret", "token", "password", "auth", "bearer", "credential", "credentials", "config", "export", "env"}
+def known(word: str) -> str:
+    """A word of the lists in lower case; ``~`` stands for all others."""
+    low = word.lower()
+    return low if low in CUE_WORDS or low in OTHER_WORDS else "~"
 
 
-def token_features(tokens: list[str], i: int, file: list[str]) -> list[str]:
-    token = tokens[i]
+def file_features(tokens: list[str]) -> list[str]:
+    return [f"file:cue={any(t.lower() in CUE_WORDS for t in tokens)}"]
+
+
+def own_features(token: str) -> list[str]:
     folds = shape(token)
-    words = [t for t in tokens[max(0, i - 6) : i] if t.isalpha()]
-    after = [t for t in tokens[i + 1 : i + 4] if t.isalpha()]
-    marks = "".join(t for t in tokens[max(0, i - 2) : i] if not t.isalnum())
     digits = sum(c.isdigit() for c in token)
+    letters = sum(c.isalpha() for c in token)
+    size = min(len(token) // 3, 14)
+    kind = "letters" if letters == len(token) else "digits" if digits == len(token) else "both" if letters and digits else "other"
+    mixed = any(c.islower() for c in token) and any(c.isupper() for c in token[1:])
+    return [
+        "bias", f"length={size}", f"kind={kind}", f"kind={kind},length={size}", f"entropy={min(int(entropy(token) * 2), 10)}", f"folds={min(len(folds) // 2, 8)}", f"start={folds[:3]}",
+        f"digits={int(8 * digits / len(token))}", f"mixed={mixed}", f"mixed={mixed},length={size}", f"hex={bool(re.fullmatch('[0-9a-fA-F]+', token))}",
+        f"symbol={''.join(sorted({c for c in token if not c.isalnum()}))[:3]}", f"ascii={token.isascii()}",
+    ]
+
+
+#: Marks that the context tells apart.
+MARKS = set(":=\"'@/,.;()<>")
+#: Those of them that, like cue words, may announce a value.
+SIGNS = set(":=\"'@/")
+#: Feature groups of the context; a token has at most one of each.
+CONTEXT = ("before", "before2", "after", "marks", "next", "file:cue")
+
+
+def context_features(tokens: list[str], i: int, file: list[str]) -> list[str]:
+    words = [t for t in tokens[max(0, i - BEFORE) : i] if t.isalpha()]
+    after = next((known(t) for t in tokens[i + 1 : i + 1 + BEHIND] if t.isalpha()), "")
+    marks = "".join(t for t in tokens[max(0, i - 2) : i] if not t.isalnum())
+    follows = tokens[i + 1][:1] if i + 1 < len(tokens) and not tokens[i + 1].isalnum() else ""
+    before = known(words[-1]) if words else ""
     return [
-        "bias",
-        f"length={min(len(token) // 4, 12)}",
-        f"entropy={min(int(entropy(token) * 2), 10)}",
-        f"folds={min(len(folds) // 3, 6)}",
-        f"start={folds[:3]}",
-        f"digits={int(8 * digits / len(token))}",
-        f"mixed={any(c.islower() for c in token) and any(c.isupper() for c in token)}",
-        f"hex={bool(re.fullmatch('[0-9a-fA-F]+', token))}",
-        f"symbol={''.join(sorted({c for c in token if not c.isalnum()}))}",
-        f"before={words[-1].lower() if words else ''}",
-        f"before2={words[-2].lower() if len(words) > 1 else ''}",
-        f"after={after[0].lower() if after else ''}",
-        f"marks={marks[-2:]}",
-        *file,
-    ]
-
-
-def runs(tokens: list[str]) -> list[list[int]]:
-    """Positions of admissible tokens, in runs of neighbours."""
+        f"before={before}", f"before2={known(words[-2]) if len(words) > 1 else ''}", f"after={after}", f"marks={marks[-2:] if set(marks[-2:]) <= MARKS else '~'}",
+        f"next={follows if follows in MARKS else '~'}", *file
+    ]
+
+
+def runs(positions: list[int]) -> list[list[int]]:
+    """Positions in runs of neighbours."""
     out: list[list[int]] = []
-    for i in (i for i, t in enumerate(tokens) if admissible(t)):
+    for i in positions:
         if out and out[-1][-1] == i - 1:
             out[-1].append(i)
         else:
@@ -122,9 +145,61 @@ class Field:
     weights: dict[str, np.ndarray]
     moves: np.ndarray
 
+    def __post_init__(self):
+        self.plain = {f: tuple(map(float, w)) for f, w in self.weights.items()}
+        m = self.moves
+        turn = max(m[p, x] + m[x, q] - m[p, 0] - (m[0, q] if q != 2 else m[0, 1]) for p in range(3) for x in (1, 2) for q in range(3) if not (p == 0 and x == 2))
+        far, near = dict.fromkeys(CONTEXT, 0.0), dict.fromkeys(CONTEXT, 0.0)
+        for f, (out, begin, inside) in self.plain.items():
+            group, _, value = f.partition("=")
+            if group in near:
+                near[group] = max(near[group], begin - out, inside - out)
+                if value not in CUE_WORDS and SIGNS.isdisjoint(value) and value != "True":
+                    far[group] = max(far[group], begin - out, inside - out)
+        #: Most that context and transitions can speak for B or I: away from cue words and signs, and near them.
+        self.cue = near["file:cue"] - far["file:cue"]
+        self.far, self.near = (sum(x.values()) + max(0.0, turn) for x in (far, near))
+        self.cache: dict[str, tuple[int, bool, tuple]] = {}
+
+    def own(self, token: str) -> tuple[int, str, tuple]:
+        """(2 if open everywhere, 1 if open near cue words and signs, 0 if closed; ``cue``, ``sign`` or nothing; scores by itself)."""
+        try:
+            return self.cache[token]
+        except KeyError:
+            if len(self.cache) >= CACHE_TOKENS:
+                self.cache.clear()
+            s = self.total(own_features(token))
+            lead = max(s[1], s[2]) - s[0]
+            kind = "cue" if token.lower() in CUE_WORDS else "sign" if token in SIGNS else ""
+            self.cache[token] = found = (2 if lead + self.far >= 0 else 1 if lead + self.near >= 0 else 0, kind, s)
+            return found
+
+    def open_tokens(self, tokens: list[str]) -> list[int]:
+        """Positions that are not closed."""
+        facts = [self.own(t) for t in tokens]
+        close: set[int] = set()
+        cue = False
+        for i, f in enumerate(facts):
+            if f[1] == "cue":
+                close.update(range(i - BEHIND, i + BEFORE + 1))
+                cue = True
+            elif f[1]:
+                close.update((i - 1, i + 1, i + 2))
+        if cue:  # the whole text then has the feature of a cue
+            return [i for i, f in enumerate(facts) if f[0] == 2 or (f[0] == 1 and (i in close or f[2][1] - f[2][0] + self.far + self.cue >= 0 or f[2][2] - f[2][0] + self.far + self.cue >= 0))]
+        return [i for i, f in enumerate(facts) if f[0] == 2 or (f[0] == 1 and i in close)]
+
+    def total(self, features: list[str]) -> tuple[float, float, float]:
+        found = [w for f in features if (w := self.plain.get(f))]
+        return (sum(w[0] for w in found), sum(w[1] for w in found), sum(w[2] for w in found))
+
     def scores(self, tokens: list[str], run: list[int], file: list[str]) -> np.ndarray:
-        zero = np.zeros(3)
-        return np.array([sum((self.weights.get(f, zero) for f in token_features(tokens, i, file)), zero) for i in run])
+        """Scores of a run of tokens."""
+        rows = []
+        for i in run:
+            own, context = self.own(tokens[i])[2], self.total(context_features(tokens, i, file))
+            rows.append((own[0] + context[0], own[1] + context[1], own[2] + context[2]))
+        return np.array(rows)
 
     def decode(self, scores: np.ndarray) -> list[int]:
         """Viterbi over a run; an outside token stands on either side of it."""
@@ -153,73 +228,104 @@ def sentences(n: int, seed: int = 7):
     """Labelled token sequences made by a rule: (tokens, set of positions that begin, set that continue a secret)."""
     draw = random.Random(seed)
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    word = lambda: "".join(draw.choice(letters) for _ in range(draw.randint(2, 9)))
+    word = lambda: "".join(draw.choice(letters) for _ in range(draw.choice([1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 11, 14, 16])))
     pick = lambda chars, k: "".join(draw.choice(chars) for _ in range(k))
     alnum, b64 = letters + letters.upper() + digits, letters + letters.upper() + digits + "+/"
-    cues = ["key", "secret", "token", "password", "bearer", "auth", "credential", "pwd", "private", "signature"]
-    plain = ["order", "version", "build", "page", "release", "model", "invoice", "part", "ticket", "commit", "file", "room"]
+    cues = ["key", "secret", "token", "password", "passwd", "bearer", "auth", "credential", "pwd", "private", "signature", "passphrase"]
+    plain = ["order", "version", "build", "page", "release", "model", "invoice", "part", "ticket", "commit", "file", "room", "phone", "call"]
+    phrase = lambda: "".join(pick(letters, draw.randint(3, 7)) for _ in range(draw.randint(4, 6)))
     for _ in range(n):
-        kind = draw.randrange(10)
+        kind = draw.randrange(12)
         lead = [word() for _ in range(draw.randint(0, 5))]
         mark = draw.choice([[], [":"], ["="], [":", '"'], ["=", "'"]])
-        if kind < 5:
-            body = draw.choice([pick(b64, draw.randint(24, 60)), pick(alnum, draw.randint(16, 48)), draw.choice(["sk_", "ghp_", "xox-", "pk-"]) + pick(alnum, draw.randint(20, 40)), pick("0123456789abcdef", draw.choice([32, 40, 64]))])
-            tokens, begin, more = [*lead, draw.choice([*cues, word()]), *mark, body], {len(lead) + 1 + len(mark)}, set()
+        more: set[int] = set()
+        if kind < 5:  # a value that tells by itself, with or without a cue
+            body = draw.choice([
+                pick(b64, draw.randint(24, 60)), pick(alnum, draw.randint(16, 48)), pick(letters, draw.randint(2, 4)) + draw.choice("_-") + pick(alnum, draw.randint(20, 40)),
+                pick(letters, 4) + "-" + pick(digits, draw.randint(8, 13)) + "-" + pick(alnum, draw.randint(10, 26)), pick("0123456789abcdef", draw.choice([32, 40, 64])), pick(letters + letters.upper(), draw.randint(24, 44)),
+            ])
+            tokens, begin = [*lead, draw.choice([*cues, word()]), *mark, body], {len(lead) + 1 + len(mark)}
             if draw.random() < 0.15:
-                tokens.append(pick(alnum, draw.randint(16, 40)) + "7a")
+                tokens.append(pick(alnum, draw.randint(16, 40)))
                 more = {len(tokens) - 1}
-            if not admissible(body):
-                begin = set()
+        elif kind < 7:  # a value that only its place makes a secret
+            body = draw.choice([phrase(), pick(digits, draw.randint(10, 20)), pick(alnum, draw.randint(8, 14)), pick(letters.upper() + digits, draw.randint(8, 16))])
+            if draw.random() < 0.3:
+                head = [*lead, draw.choice([word(), "postgres", "mysql", "https"]), ":", "//" + word(), ":"]
+                tokens, begin = [*head, pick(alnum, draw.randint(8, 16)), "@", word()], {len(head)}
+            else:
+                tokens, begin = [*lead, draw.choice(cues), *draw.choice([mark, ["is"]]), body], set()
+                begin = {len(tokens) - 1}
         else:
             body = draw.choice([
-                word() + pick(digits, draw.randint(2, 4)) + word(),
-                f"{word()}-{word()}-{draw.randint(10, 2030)}",
-                f"v{draw.randint(1, 9)}.{draw.randint(0, 20)}.{draw.randint(0, 99)}-{word()}",
-                f"{word()}/{word()}/{word()}{draw.randint(1, 99)}.{draw.choice(['txt', 'html', 'png'])}",
-                pick(letters.upper(), 2) + pick(digits, draw.randint(6, 14)),
-                f"{draw.randint(1990, 2030)}-{draw.randint(10, 12)}-{draw.randint(10, 28)}T{draw.randint(10, 23)}",
-                f"{word()}_{word()}_{draw.randint(1, 999)}",
+                word() + pick(digits, draw.randint(2, 4)) + word(), f"{word()}-{word()}-{draw.randint(10, 2030)}", f"v{draw.randint(1, 9)}.{draw.randint(0, 20)}.{draw.randint(0, 99)}-{word()}",
+                f"{word()}/{word()}/{word()}{draw.randint(1, 99)}.{draw.choice(['txt', 'html', 'png'])}", pick(letters.upper(), 2) + pick(digits, draw.randint(6, 14)),
+                f"{draw.randint(1990, 2030)}-{draw.randint(10, 12)}-{draw.randint(10, 28)}T{draw.randint(10, 23)}", f"{word()}_{word()}_{draw.randint(1, 999)}", phrase(), pick(digits, draw.randint(4, 19)), word().capitalize() + word().capitalize(), f"{word()}.{draw.randint(1, 99)}", f"{word()}{draw.randint(1, 9)}.{word()}.com",
             ])
-            tokens, begin, more = [*lead, draw.choice([*plain, word()]), *draw.choice([[], mark]), body], set(), set()
+            if draw.random() < 0.5:  # a cue word in plain prose
+                tokens = [*lead, draw.choice(cues), *draw.choice([[], [":"], ["is"], ["of"], ["was"]]), word(), word()]
+            elif draw.random() < 0.2:  # words in capitals, letters by themselves
+                tokens = [word().upper() if draw.random() < 0.8 else draw.choice(letters.upper()) for _ in range(draw.randint(2, 9))]
+            elif draw.random() < 0.15:
+                tokens = [*lead, f"{word()}.{draw.randint(1, 99)}", "@", f"{word()}{draw.randint(1, 9)}.{word()}.com"]
+            else:
+                tokens = [*lead, draw.choice([*plain, word()]), *draw.choice([[], mark]), body]
+            begin = set()
         yield tokens + [word() for _ in range(draw.randint(0, 5))], begin, more
 
 
-def train_field(n: int = TRAIN_SENTENCES, steps: int = TRAIN_STEPS, seed: int = 7) -> Field:
-    """Maximum likelihood with a small quadratic penalty, by gradient ascent with per-weight steps."""
+def _expected(scores: np.ndarray, rows: list[np.ndarray], moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label marginals of all tokens, summed transition marginals); ``rows``: tokens at step i of all sentences that have one."""
+    top = scores.max(axis=1, keepdims=True)
+    local, turns = np.exp(scores - top), np.exp(moves)
+    ahead, scale = np.empty_like(local), np.empty(len(local))
+    for i, at in enumerate(rows):
+        p = (ahead[at - 1] @ turns if i else turns[0]) * local[at]
+        scale[at] = p.sum(axis=1)
+        ahead[at] = p / scale[at, None]
+    behind, pairs = np.empty_like(local), np.zeros((3, 3))
+    last = np.ones(len(local), bool)
+    for at in rows[1:]:
+        last[at - 1] = False
+    behind[last] = turns[:, 0]
+    for at in rows[:0:-1]:
+        back = local[at] * behind[at] / scale[at, None]
+        behind[at - 1] = back @ turns.T
+        mass = (ahead[at] * behind[at]).sum(axis=1, keepdims=True)
+        pairs += (ahead[at - 1] / mass).T @ back * turns
+    marginals = ahead * behind
+    marginals /= marginals.sum(axis=1, keepdims=True)
+    pairs[0] += marginals[rows[0]].sum(axis=0)
+    pairs[:, 0] += marginals[last].sum(axis=0)
+    return marginals, pairs
+
+
+def train_field(n: int = TRAIN_SENTENCES, steps: int = TRAIN_STEPS, seed: int = 7, penalty: float = 0.05) -> Field:
+    """Maximum likelihood with a quadratic penalty, by gradient ascent with per-weight steps, all sentences at once."""
     names: dict[str, int] = {}
-    examples = []
+    features, gold, lengths = [], [], []
     for tokens, begin, more in sentences(n, seed):
         file = file_features(tokens)
-        for run in runs(tokens):
-            rows = [[names.setdefault(f, len(names)) for f in token_features(tokens, i, file)] for i in run]
-            examples.append((rows, [1 if i in begin else 2 if i in more else 0 for i in run]))
+        features += [[names.setdefault(f, len(names)) for f in own_features(t) + context_features(tokens, i, file)] for i, t in enumerate(tokens)]
+        gold += [1 if i in begin else 2 if i in more else 0 for i in range(len(tokens))]
+        lengths.append(len(tokens))
+    held, gold, lengths = np.array(features), np.array(gold), np.array(lengths)
+    firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    rows = [firsts[lengths > i] + i for i in range(lengths.max())]
+    truth = np.eye(3)[gold]
+    wanted = np.zeros((3, 3))
+    inner = np.concatenate(rows[1:])
+    np.add.at(wanted, (gold[inner - 1], gold[inner]), 1)
+    np.add.at(wanted, (np.zeros(len(firsts), int), gold[firsts]), 1)
+    np.add.at(wanted, (gold[firsts + lengths - 1], np.zeros(len(firsts), int)), 1)
     w, moves = np.zeros((len(names), 3)), _start_moves()
-    fixed = moves < 0
+    fixed, flat, width = moves < 0, held.ravel(), held.shape[1]
     sums_w, sums_m = np.full_like(w, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(steps):
-        gw, gm = -0.01 * w, -0.01 * moves
-        for rows, gold in examples:
-            s = np.array([w[r].sum(axis=0) for r in rows])
-            ahead, behind = [moves[0] + s[0]], [moves[:, 0]]
-            for k in range(1, len(s)):
-                ahead.append(np.logaddexp.reduce(ahead[-1][:, None] + moves, axis=0) + s[k])
-            for k in range(len(s) - 1, 0, -1):
-                behind.append(np.logaddexp.reduce(moves + (s[k] + behind[-1])[None, :], axis=1))
-            behind.reverse()
-            total = np.logaddexp.reduce(ahead[-1] + moves[:, 0])
-            for k, r in enumerate(rows):
-                step = -np.exp(ahead[k] + behind[k] - total)
-                step[gold[k]] += 1
-                gw[r] += step
-            first, last = np.exp(ahead[0] + behind[0] - total), np.exp(ahead[-1] + behind[-1] - total)
-            gm[0] -= first
-            gm[0, gold[0]] += 1
-            gm[:, 0] -= last
-            gm[gold[-1], 0] += 1
-            for k in range(1, len(s)):
-                gm -= np.exp(ahead[k - 1][:, None] + moves + (s[k] + behind[k])[None, :] - total)
-                gm[gold[k - 1], gold[k]] += 1
-        gm[fixed] = 0
+        marginals, pairs = _expected(w[held].sum(axis=1), rows, moves)
+        gap = truth - marginals
+        gw = np.stack([np.bincount(flat, np.repeat(gap[:, k], width), len(names)) for k in range(3)], axis=1) - penalty * w
+        gm = np.where(fixed, 0, wanted - pairs - penalty * moves)
         sums_w += gw * gw
         sums_m += gm * gm
         w += 0.5 * gw / np.sqrt(sums_w)
@@ -228,24 +334,28 @@ def train_field(n: int = TRAIN_SENTENCES, steps: int = TRAIN_STEPS, seed: int =
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
-    found = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
-    tokens = [t for t, _, _ in found]
-    file, spans = None, []
-    for run in runs(tokens):
-        file = file or file_features(tokens)
+    tokens = TOKEN.findall(text)
+    open_tokens = field.open_tokens(tokens)
+    if not open_tokens:
+        return []
+    file, spans = file_features(tokens), []
+    places = None
+    for run in runs(open_tokens):
         labels = field.decode(field.scores(tokens, run, file))
-        for i, label in zip(run, labels, strict=True):
-            if label == 1:
-                spans.append([found[i][1], found[i][2], "crf"])
-            elif label == 2 and spans:
-                spans[-1][1] = found[i][2]
+        if any(labels):
+            places = places or [m.span() for m in TOKEN.finditer(text)]
+            for i, label in zip(run, labels, strict=True):
+                if label == 1:
+                    spans.append([*places[i], "crf"])
+                elif label == 2:
+                    spans[-1][1] = places[i][1]
     return [tuple(s) for s in spans]
 
 
 def all_spans(text: str, field: Field) -> tuple[list, list]:
     """(base spans, all spans), each by start, then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    base = sorted(base_spans(text), key=order)
+    base = sorted(base_spans(text), key=order) if may_hold(text.encode("utf-8", "surrogatepass")) else []
     more = [s for s in field_spans(text, field) if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
     return base, sorted(base + more, key=order)
 
@@ -254,7 +364,7 @@ _HEX_BYTES = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8
 
 
 def may_hold(text: bytes) -> bool:
-    """False only for texts in which neither a pattern nor the field can find anything."""
+    """False only for texts in which no base pattern can find anything."""
     codes = np.frombuffer(text, np.uint8)
     low = text.lower()
     if ((codes >= 48) & (codes <= 57)).any() or any(cue in low for cue in CUES):
@@ -280,8 +390,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
             digests, spans = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                base, every = all_spans(text.decode(), field) if text and may_hold(text) else ((), ())
+            for text in batch.column("text").to_pylist():
+                base, every = all_spans(text, field) if text else ((), ())
                 for column, kind in zip(counts, KINDS, strict=False):
                     column.append(sum(s[2] == kind for s in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest() if base else nothing)
