@@ -81,6 +81,80 @@ def _forecast(source: str, method: str) -> str:
 STEPS |= {"f_same": _forecast("same_long", "same_time_of_day"), "f_all": _forecast("all_long", "unconditional"), "f_near": _forecast("near_long", "raw_knn")}
 
 
+_P = lambda n, more="true": f"(q_t // 900) % 97 = {n} AND {more}"
+_N = lambda n, more="true": f"(q_t // 900) % 89 = {n} AND {more}"
+# forecasts and neighbours with the faults that registry.planted_predictions and planted_neighbors put into them
+STEPS |= {
+    "fitend": "SELECT refit_id, max(t) AS fit_end FROM panel0 WHERE is_train GROUP BY refit_id",
+    "pzero": "SELECT p.*, refit_id AS query_model_id, q_t AS latest_feature_t, fit_end, first_t AS refit_block_start FROM pred p JOIN fitend USING (refit_id) JOIN (SELECT refit_id, first_t FROM blocks) USING (refit_id)",
+    "pone": f"""SELECT * REPLACE (CASE WHEN {_P(2, "method = 'raw_knn' AND horizon_minutes = 30")} THEN actual_return + 1 WHEN {_P(3, "method = 'momentum'")} THEN 'infinity'::DOUBLE ELSE actual_return END AS actual_return,
+        CASE WHEN {_P(4, "method = 'raw_knn'")} THEN 1.5 ELSE probability_up END AS probability_up, CASE WHEN {_P(5, "method = 'raw_knn' AND embargo_sessions = 0")} THEN fold - 10 ELSE fold END AS fold,
+        CASE WHEN {_P(6, "method = 'raw_knn' AND embargo_sessions = 1")} THEN q_session + 1000 ELSE q_session END AS q_session, CASE WHEN {_P(7)} THEN 'other' ELSE query_model_id END AS query_model_id,
+        CASE WHEN {_P(8)} THEN q_t + 1 ELSE latest_feature_t END AS latest_feature_t, CASE WHEN {_P(9)} THEN refit_block_start ELSE fit_end END AS fit_end,
+        CASE WHEN {_P(10, "method = 'raw_knn'")} THEN effective_neighbor_count + 1 ELSE effective_neighbor_count END AS effective_neighbor_count)
+        FROM pzero WHERE NOT ({_P(1, "method = 'momentum' AND horizon_minutes = 15 AND embargo_sessions = 0")})""",
+    "pplant": f"SELECT * FROM pone UNION ALL SELECT * FROM pone WHERE {_P(11, "method = 'raw_knn' AND embargo_sessions = 0")}",
+    "nzero": """SELECT n.*, l.session_index AS c_session, l.e15, l.e30, l.e60, k.session_index AS query_session_index, fit_end, refit_id AS query_model_id, refit_id AS neighbor_model_id FROM (
+        SELECT refit_id, q_t, embargo_sessions, 'raw_knn' AS method, c_t, rank, distance, r15, r30, r60 FROM near UNION ALL
+        SELECT refit_id, q_t, embargo_sessions, 'same_time_of_day', c_t, row_number() OVER (PARTITION BY refit_id, q_t, embargo_sessions ORDER BY c_t), NULL, r15, r30, r60 FROM same SEMI JOIN common USING (refit_id, q_t)) n
+        JOIN lab l ON l.t = c_t JOIN lab k ON k.t = q_t JOIN fitend USING (refit_id)""",
+    "none1": f"""SELECT * REPLACE (CASE WHEN {_N(1, "rank = 1")} THEN r30 + 1 ELSE r30 END AS r30, CASE WHEN {_N(2, "rank = 2")} THEN q_t + 60 ELSE e60 END AS e60,
+        CASE WHEN {_N(3, "rank = 1 AND embargo_sessions = 5")} THEN query_session_index - 5 ELSE c_session END AS c_session, CASE WHEN {_N(4, "rank = 3")} THEN q_t ELSE fit_end END AS fit_end,
+        CASE WHEN {_N(5, "rank = 1")} THEN 'other' ELSE neighbor_model_id END AS neighbor_model_id, CASE WHEN {_N(6, "rank = 1")} THEN q_t ELSE c_t END AS c_t) FROM nzero""",
+    "nplant": f"SELECT * FROM none1 UNION ALL SELECT * FROM none1 WHERE {_N(7, "rank <= 4 AND method = 'raw_knn'")}",
+    "nsum": """SELECT refit_id, q_t, embargo_sessions, method, horizon_minutes, count(v) AS s_n, avg(v) AS s_mean, quantile_cont(v, 0.5) AS s_median, quantile_cont(v, 0.1) AS s_q10, min(distance) AS s_near, max(distance) AS s_far
+        FROM (SELECT *, CASE horizon_minutes WHEN 15 THEN r15 WHEN 30 THEN r30 ELSE r60 END AS v FROM nplant CROSS JOIN horizons) GROUP BY ALL""",
+}
+
+
+def _counts(checks: dict[str, str], name: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS {name}, count(*)::BIGINT AS n FROM ({rows})" for k, rows in checks.items())
+
+
+def _split(column: str, by: str) -> str:
+    return f"SELECT 1 FROM pplant GROUP BY {by} HAVING count(DISTINCT coalesce({column}::VARCHAR, 'null')) > 1"
+
+
+def cohorts_planted() -> str:
+    """Counts of cohort violations over the planted forecasts."""
+    return _counts({
+        "duplicates": "SELECT 1 FROM pplant GROUP BY embargo_sessions, q_t, horizon_minutes, method HAVING count(*) > 1",
+        "unequal_methods": """SELECT 1 FROM (SELECT embargo_sessions, horizon_minutes, q_t, count(DISTINCT method) AS n FROM pplant GROUP BY ALL) JOIN (SELECT embargo_sessions, horizon_minutes, count(DISTINCT method) AS every FROM pplant GROUP BY ALL)
+            USING (embargo_sessions, horizon_minutes) WHERE n <> every""",
+        "outcomes_disagree": _split("actual_return", "embargo_sessions, q_t, horizon_minutes"), "sessions_disagree": _split("q_session", "embargo_sessions, q_t"), "folds_disagree": _split("fold", "embargo_sessions, q_t"),
+        "session_in_two_folds": _split("fold", "embargo_sessions, q_session"), "missing_identity": "SELECT 1 FROM pplant WHERE q_t IS NULL OR actual_return IS NULL",
+        "bad_integers": "SELECT 1 FROM pplant WHERE embargo_sessions < 0 OR fold < 1 OR horizon_minutes < 1", "outcome_not_finite": "SELECT 1 FROM pplant WHERE NOT isfinite(actual_return)",
+        "probability_out_of_range": "SELECT 1 FROM pplant WHERE probability_up < 0 OR probability_up > 1",
+        "embargoes_unpaired": "SELECT 1 FROM pplant GROUP BY q_t, horizon_minutes, method HAVING count(DISTINCT embargo_sessions) <> (SELECT count(DISTINCT embargo_sessions) FROM pplant)",
+    }, "violation")
+
+
+def audit_planted(k: int, cap: int) -> str:
+    """Counts of audit violations over the planted forecasts and neighbours."""
+    key = "refit_id, q_t, embargo_sessions, method"
+    near = lambda a, b: f"NOT coalesce({a} IS NOT DISTINCT FROM {b} OR abs({a} - {b}) <= 1e-12 * greatest(1, abs({b})), false)"
+    differs = " OR ".join(f"n.{x} IS DISTINCT FROM l.{x}" for x in ("r15", "r30", "r60", "e15", "e30", "e60"))
+    return _counts({
+        "fit_not_before_block": "SELECT 1 FROM pplant WHERE fit_end >= refit_block_start", "fit_not_before_query": "SELECT 1 FROM nplant WHERE fit_end >= q_t", "feature_after_query": "SELECT 1 FROM pplant WHERE latest_feature_t > q_t",
+        "wrong_model": "SELECT 1 FROM pplant WHERE query_model_id <> refit_id UNION ALL SELECT 1 FROM nplant WHERE query_model_id <> neighbor_model_id", "neighbor_not_before_query": "SELECT 1 FROM nplant WHERE c_t >= q_t",
+        "neighbor_outcome_unknown": "SELECT 1 FROM nplant WHERE e60 > q_t", "embargo_broken": "SELECT 1 FROM nplant WHERE embargo_sessions > 0 AND c_session >= query_session_index - embargo_sessions",
+        "outcome_differs": "SELECT 1 FROM pplant p LEFT JOIN lab l ON l.t = p.q_t WHERE CASE horizon_minutes WHEN 15 THEN r15 WHEN 30 THEN r30 ELSE r60 END IS DISTINCT FROM actual_return",
+        "neighbor_outcome_differs": f"SELECT 1 FROM nplant n LEFT JOIN lab l ON l.t = n.c_t WHERE {differs}", "neighbor_twice": f"SELECT 1 FROM nplant GROUP BY {key}, c_t HAVING count(*) > 1",
+        "too_many_neighbors": f"SELECT 1 FROM nplant WHERE method = 'raw_knn' GROUP BY {key} HAVING count(*) > {k}", "session_cap_broken": f"SELECT 1 FROM nplant WHERE method = 'raw_knn' GROUP BY {key}, c_session HAVING count(*) > {cap}",
+        "summary_differs": f"""SELECT 1 FROM pplant LEFT JOIN nsum USING ({key}, horizon_minutes) WHERE method <> 'momentum' AND (s_n IS NULL OR s_n <> effective_neighbor_count
+            OR {near("s_mean", "mean")} OR {near("s_median", "median")} OR {near("s_q10", "q10")} OR {near("s_near", "distance_min")} OR {near("s_far", "distance_max")})""",
+    }, "violation")
+
+
+def prefix_planted(end: int) -> str:
+    """Rows lost and gained against a run on bars up to ``end``, with rows of the longer run changed and removed."""
+    columns = "refit_id, q_t, embargo_sessions, method, horizon_minutes, effective_neighbor_count, outcome_end, median, probability_up, q10, q90, actual_return, distance_mean"
+    early = f"SELECT {columns} FROM pred SEMI JOIN (SELECT refit_id, q_t FROM cq WHERE qe60 <= {end}) USING (refit_id, q_t)"
+    later = f"""SELECT {columns.replace("median", "CASE WHEN (q_t // 900) % 53 = 2 AND horizon_minutes = 15 THEN median + 1 ELSE median END AS median")} FROM pred
+        WHERE NOT ((q_t // 900) % 53 = 1 AND method = 'raw_knn') AND q_t <= (SELECT max(q_t) FROM cq WHERE qe60 <= {end})"""
+    return _counts({"missing": f"({early}) EXCEPT ALL ({later})", "added": f"({later}) EXCEPT ALL ({early})"}, "difference")
+
+
 def metrics(source: str, keys: str) -> str:
     """SQL of the metric table with tie-averaged rank correlation."""
     return f"""SELECT {keys}, n_forecasts, n_sessions, query_start, query_end, round(mae, 8) + 0.0 AS mae, round(rmse, 8) + 0.0 AS rmse, round(mse, 8) + 0.0 AS mean_signed_error, round(brier, 8) + 0.0 AS brier,

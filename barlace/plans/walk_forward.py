@@ -166,9 +166,7 @@ def forecasts(w: WalkForward, models: DataFrame | None = None, methods: tuple[st
 
     A refit whose model failed is left out for every method, so cohorts stay paired.
     """
-    queries = common_queries(w)
-    if models is not None:
-        queries = queries.join(models.where("status = 'accepted'").select("refit_id"), "refit_id", "left_semi")
+    queries = modelled(common_queries(w), models)
     own = queries.select("refit_id", "q_t")
     hs = w.horizons
     makers = {
@@ -179,11 +177,7 @@ def forecasts(w: WalkForward, models: DataFrame | None = None, methods: tuple[st
     }
     parts = [makers[m]() for m in methods]
     if models is not None:
-        latent, states = trajectories(w, models, w.config.bar_minutes * 60), w.config.hmm.n_states
-        for method, vector, width in (("hmm_current", "current", states), ("hmm_trajectory", "trajectory", states * w.config.context_bars)):
-            q = queries.join(latent.select("refit_id", F.col("t").alias("q_t"), F.col(vector).alias("q_latent")), ["refit_id", "q_t"])
-            c = w.candidates.drop("c_vector").join(latent.select("refit_id", F.col("t").alias("c_t"), F.col(vector).alias("c_vector")), ["refit_id", "c_t"])
-            parts.append(rt.cohort_forecast(neighbor_pairs(w, q, "q_latent", c, width), queries, method, hs, KEYS, "distance"))
+        parts += [rt.cohort_forecast(neighbor_pairs(w, q, "q_latent", c, width), queries, method, hs, KEYS, "distance") for method, q, c, width in latent_sides(w, queries, models)]
     out = reduce(lambda a, b: a.unionByName(b), parts)
     about = queries.select("refit_id", "q_t", "q_date", "q_session", "q_minute", "context_start", F.explode(F.create_map(*(x for h in hs for x in (F.lit(h), F.col(f"q_outcome_{h}m"))))).alias("horizon_minutes", "outcome_end"))
     limits = w.blocks.select("refit_id", F.col("first_t").alias("refit_block_start"))
@@ -202,13 +196,43 @@ def fit_models(w: WalkForward) -> DataFrame:
     return hmm.fit_refits(w.panel, w.config.features.columns, w.config.hmm)
 
 
-def neighbor_audit(w: WalkForward, queries: DataFrame) -> DataFrame:
-    """Audit rows of raw_knn: one per query, embargo and neighbour, with outcomes."""
-    near = neighbor_pairs(w, queries)
+def latent_sides(w: WalkForward, queries: DataFrame, models: DataFrame):
+    """(method, queries with q_latent, candidates, vector width) of the two methods in posterior space."""
+    latent, states = trajectories(w, models, w.config.bar_minutes * 60), w.config.hmm.n_states
+    for method, vector, width in (("hmm_current", "current", states), ("hmm_trajectory", "trajectory", states * w.config.context_bars)):
+        q = queries.join(latent.select("refit_id", F.col("t").alias("q_t"), F.col(vector).alias("q_latent")), ["refit_id", "q_t"])
+        c = w.candidates.drop("c_vector").join(latent.select("refit_id", F.col("t").alias("c_t"), F.col(vector).alias("c_vector")), ["refit_id", "c_t"])
+        yield method, q, c, width
+
+
+def modelled(queries: DataFrame, models: DataFrame | None) -> DataFrame:
+    """The queries that are forecast: those of refits whose model was accepted."""
+    return queries if models is None else queries.join(models.where("status = 'accepted'").select("refit_id"), "refit_id", "left_semi")
+
+
+def neighbor_audit(w: WalkForward, queries: DataFrame, models: DataFrame | None = None, methods: tuple[str, ...] = ("unconditional", "same_time_of_day", "raw_knn")) -> DataFrame:
+    """One row per forecast query, embargo, method and member of its cohort, with the member's outcomes.
+
+    Cohorts without distances are ranked by time.  Momentum has no cohort.
+    """
+    queries = modelled(queries, models)
+    own = queries.select("refit_id", "q_t")
+    by_time = lambda pairs: pairs.select(*KEYS, "c_t", "c_session", F.lit(None).cast("double").alias("distance"), F.row_number().over(W.partitionBy(*KEYS).orderBy("c_t")).alias("rank"), *returns(w))
+    makers = {
+        "unconditional": lambda: by_time(unconditional_pairs(w, queries)),
+        "same_time_of_day": lambda: by_time(same_time_pairs(w).join(own, ["refit_id", "q_t"], "left_semi")),
+        "raw_knn": lambda: neighbor_pairs(w, queries),
+    }
+    parts = [(m, makers[m]()) for m in methods]
+    if models is not None:
+        parts += [(method, neighbor_pairs(w, q, "q_latent", c, width)) for method, q, c, width in latent_sides(w, queries, models)]
+    shape = [*KEYS, "c_t", "c_session", "distance", "rank", *returns(w)]
+    rows = reduce(lambda a, b: a.unionByName(b), (part.select(*shape, F.lit(method).alias("method")) for method, part in parts))
     about = w.candidates.select("refit_id", "c_t", "c_start", *(f"outcome_end_{h}m" for h in w.horizons))
     q = queries.select("refit_id", "q_t", F.col("q_session").alias("query_session_index"))
     cut = w.panel.where("is_train").groupBy("refit_id").agg(F.max("t").alias("fit_end"))
-    return near.join(about, ["refit_id", "c_t"]).join(q, ["refit_id", "q_t"]).join(cut, "refit_id").withColumn("method", F.lit("raw_knn"))
+    known = {"query_model_id": F.col("refit_id"), "neighbor_model_id": F.col("refit_id")}
+    return rows.join(about, ["refit_id", "c_t"]).join(q, ["refit_id", "q_t"]).join(cut, "refit_id").withColumns(known)
 
 
 def skipped_blocks(w: WalkForward, models: DataFrame | None, queries: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from .functions.scalars import nudge, rounded
 from .operators import audit, bootstrap, hmm, metrics, preprocessing, trading
 from .operators import bars as ops
 from .operators import retrieval as rt
+from . import oracle
 from .oracle import metrics as metric_sql
 from .oracle import sql
 from .plans import report
@@ -396,16 +397,76 @@ def q_trading_metrics(spark, d):
     return table.select("method", "horizon_minutes", "n_trades", "n_sessions", "n_bars", *_r("hit_rate", "average_holding_return", "time_in_market", "max_drawdown", digits=6), F.round(F.log1p("net_return"), 5).alias("ln_net"))
 
 
-def q_audit(spark, d):
+def _audit_tables(spark, d):
+    """(bars with outcomes, forecasts, their neighbours) of the methods that ``predictions`` holds."""
     w = evaluation(spark, d)
-    return audit.violations(w, predictions(spark, d), keep(wf.neighbor_audit(w, wf.common_queries(w)), "neighbors"))
+    key = (spark.sparkContext.applicationId, d, "neighbors")
+    if key not in _PREDICTIONS:
+        _PREDICTIONS[key] = keep(wf.neighbor_audit(w, wf.common_queries(w), methods=("same_time_of_day", "raw_knn")), "neighbors")
+    return w.bars, predictions(spark, d), _PREDICTIONS[key], w.horizons, w.config.retrieval.k, w.config.retrieval.max_neighbors_per_session
+
+
+def q_audit(spark, d):
+    return audit.violations(*_audit_tables(spark, d))
+
+
+def planted_predictions(p: DataFrame) -> DataFrame:
+    """Forecasts with faults of every kind, at places that the numbers of a row tell."""
+    on = lambda n, more="true": F.expr(f"q_t div 900 % 97 = {n} and {more}")
+    p = p.where(~on(1, "method = 'momentum' and horizon_minutes = 15 and embargo_sessions = 0"))
+    p = p.withColumns({
+        "actual_return": F.when(on(2, "method = 'raw_knn' and horizon_minutes = 30"), F.col("actual_return") + 1).when(on(3, "method = 'momentum'"), F.lit(float("inf"))).otherwise(F.col("actual_return")),
+        "probability_up": F.when(on(4, "method = 'raw_knn'"), 1.5).otherwise(F.col("probability_up")),
+        "fold": F.when(on(5, "method = 'raw_knn' and embargo_sessions = 0"), F.col("fold") - 10).otherwise(F.col("fold")),
+        "q_session": F.when(on(6, "method = 'raw_knn' and embargo_sessions = 1"), F.col("q_session") + 1000).otherwise(F.col("q_session")),
+        "query_model_id": F.when(on(7), F.lit("other")).otherwise(F.col("query_model_id")),
+        "latest_feature_t": F.when(on(8), F.col("q_t") + 1).otherwise(F.col("latest_feature_t")),
+        "fit_end": F.when(on(9), F.col("refit_block_start")).otherwise(F.col("fit_end")),
+        "effective_neighbor_count": F.when(on(10, "method = 'raw_knn'"), F.col("effective_neighbor_count") + 1).otherwise(F.col("effective_neighbor_count")),
+    })
+    return p.unionByName(p.where(on(11, "method = 'raw_knn' and embargo_sessions = 0")))
+
+
+def planted_neighbors(n: DataFrame) -> DataFrame:
+    """Neighbours with faults of every kind, at places that the numbers of a row tell."""
+    on = lambda k, more="true": F.expr(f"q_t div 900 % 89 = {k} and {more}")
+    n = n.withColumns({
+        "return_30m": F.when(on(1, "rank = 1"), F.col("return_30m") + 1).otherwise(F.col("return_30m")),
+        "outcome_end_60m": F.when(on(2, "rank = 2"), F.col("q_t") + 60).otherwise(F.col("outcome_end_60m")),
+        "c_session": F.when(on(3, "rank = 1 and embargo_sessions = 5"), F.col("query_session_index") - 5).otherwise(F.col("c_session")),
+        "fit_end": F.when(on(4, "rank = 3"), F.col("q_t")).otherwise(F.col("fit_end")),
+        "neighbor_model_id": F.when(on(5, "rank = 1"), F.lit("other")).otherwise(F.col("neighbor_model_id")),
+        "c_t": F.when(on(6, "rank = 1"), F.col("q_t")).otherwise(F.col("c_t")),
+    })
+    return n.unionByName(n.where(on(7, "rank <= 4 and method = 'raw_knn'")))
+
+
+def q_audit_planted(spark, d):
+    """The audit over tables with planted faults."""
+    bars, p, n, *limits = _audit_tables(spark, d)
+    return audit.violations(bars, planted_predictions(p), planted_neighbors(n), *limits)
+
+
+def q_cohorts_planted(spark, d):
+    return metrics.cohort_violations(planted_predictions(predictions(spark, d)))
 
 
 def q_prefix(spark, d):
     """Forecasts of a run that ends early differ nowhere from those of the whole run."""
+    return audit.prefix_differences(_prefix_run(spark, d), predictions(spark, d))
+
+
+def _prefix_run(spark, d):
     events = _table(spark, d, "events")
     part = wf.plan(ops.with_segments(bars_from_events(events.where("ts < timestamp_ntz'2024-01-22 00:00:00'"), CONFIG.bar_minutes), CONFIG.bar_minutes), CONFIG)
-    return audit.prefix_differences(wf.forecasts(part, methods=("same_time_of_day", "raw_knn", "momentum")), predictions(spark, d))
+    return wf.forecasts(part, methods=("same_time_of_day", "raw_knn", "momentum"))
+
+
+def q_prefix_planted(spark, d):
+    """What the comparison finds where the longer run was changed and has lost rows."""
+    whole = predictions(spark, d).where("not (q_t div 900 % 53 = 1 and method = 'raw_knn')")
+    changed = whole.withColumn("median", F.when(F.expr("q_t div 900 % 53 = 2 and horizon_minutes = 15"), F.col("median") + 1).otherwise(F.col("median")))
+    return audit.prefix_differences(_prefix_run(spark, d), changed)
 
 
 QUERIES = {
@@ -419,7 +480,7 @@ QUERIES = {
     "paired_differences": q_paired, "cohort_violations": q_cohorts, "bootstrap_cluster_sums": q_cluster_sums, "bootstrap_ci": q_bootstrap, "bootstrap_means": q_bootstrap_means, "query_coverage": q_query_coverage, "conclusion": q_conclusion,
     "hmm_filter_fixed": q_filter, "state_occupancy": q_occupancy, "occupancy_by_sign": q_occupancy_by_sign, "occupancy_by_volatility": q_occupancy_by_volatility,
     "clock_concentration": q_clock, "hmm_fit_walk_forward": q_hmm_fit, "hmm_forecasts": q_hmm_forecasts, "trades": q_trades, "equity_curve": q_equity,
-    "trading_metrics": q_trading_metrics, "audit_violations": q_audit, "prefix_invariance": q_prefix,
+    "trading_metrics": q_trading_metrics, "audit_violations": q_audit, "prefix_invariance": q_prefix, "audit_planted": q_audit_planted, "cohorts_planted": q_cohorts_planted, "prefix_planted": q_prefix_planted,
 }
 
 _FORECAST_SQL = "SELECT refit_id, q_t, embargo_sessions, horizon_minutes, method, effective_neighbor_count, " + _rs(*VALUES, digits=7) + " FROM "
@@ -474,6 +535,7 @@ ORACLE_SQL = {
     "bootstrap_cluster_sums": sql("""SELECT embargo_sessions, horizon_minutes, fold, q_session, model, loss_name AS loss, count(*) AS n, round(sum(v), 7) + 0.0 AS total FROM (UNPIVOT (SELECT o.embargo_sessions, o.horizon_minutes, o.fold, o.q_session, o.method AS model, o.absolute_error - r.absolute_error AS absolute_error,
         o.squared_error - r.squared_error AS squared_error, o.brier - r.brier AS brier FROM sub o JOIN sub r USING (embargo_sessions, horizon_minutes, fold, q_t) WHERE r.method = 'raw_knn' AND o.method <> 'raw_knn') ON absolute_error, squared_error, brier INTO NAME loss_name VALUE v) GROUP BY ALL"""),
     "audit_violations": "SELECT unnest(" + str(list(audit.CHECKS)) + ") AS violation, 0::BIGINT AS n",
+    "audit_planted": sql(oracle.audit_planted(CONFIG.retrieval.k, CONFIG.retrieval.max_neighbors_per_session)), "cohorts_planted": sql(oracle.cohorts_planted()), "prefix_planted": sql(oracle.prefix_planted(1705881600)),
     "prefix_invariance": "SELECT unnest(['missing', 'added']) AS difference, 0::BIGINT AS n",
 }
 _DENSITY = lambda mean, var: f"-0.5 * ({2} * ln(2 * pi()) + ln({var[0]}) + ln({var[1]}) + (z0 - ({mean[0]})) ** 2 / {var[0]} + (z2 - ({mean[1]})) ** 2 / {var[1]})"

@@ -2,16 +2,20 @@
 
 import json
 import math
+import shutil
+from datetime import date, datetime, timezone
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barlace import registry
-from barlace.operators import audit
+from barlace.operators import audit, hmm, retrieval
 from barlace.plans import report
 from barlace.plans.config import config_from, save_config
 from barlace.plans.run import main
+from barlace.sources import manifests
 from barlace.sources.bars import bars_from_events
 from barlace.streaming.bars import filter_step, streaming_bars, streaming_filter
 
@@ -41,7 +45,22 @@ def test_commands(spark, tmp_path, capsys):
     assert manifest["status"] == "complete" and manifest["forecasts"] > 0
     methods = {r.method for r in spark.read.parquet(str(out / "predictions.parquet")).select("method").distinct().collect()}
     assert methods == {"unconditional", "same_time_of_day", "raw_knn", "momentum", "hmm_current", "hmm_trajectory"}
-    assert "Conclusion" in (out / "report.html").read_text()
+    page = (out / "report.html").read_text()
+    assert all(title in page for title in ("Conclusion", "Example contexts", "Cohort return_120m", "State transitions", "Clock concentration", "Equity"))
+    assert manifest["neighbors"] > manifest["forecasts"] and manifest["refits"]["accepted"] > 0 and "operators/hmm.py" in manifest["source_sha256"]
+    members = {r.method for r in spark.read.parquet(str(out / "neighbors.parquet")).select("method").distinct().collect()}
+    assert members == methods - {"momentum"}
+    assert main(["audit", "--run", str(out)]) == 0
+    assert json.loads((out / "audit.json").read_text())["status"] == "passed"
+    changed = spark.read.parquet(str(out / "neighbors.parquet")).withColumn("return_60m", F.expr("if(method = 'hmm_current' and rank = 1, return_60m + 1, return_60m)"))
+    n = changed.where("method = 'hmm_current' and rank = 1").count()
+    changed.write.parquet(str(tmp_path / "changed"))
+    shutil.rmtree(out / "neighbors.parquet")
+    shutil.move(tmp_path / "changed", out / "neighbors.parquet")
+    capsys.readouterr()
+    assert main(["audit", "--run", str(out)]) == 1
+    broken = {k: v for k, v in json.loads(capsys.readouterr().out)["violations"].items() if v}
+    assert broken == {"neighbor_outcome_differs": n, "summary_differs": n}
     save_config(config_from(values | {"data": values["data"] | {"min_session_coverage": 1.0}}), str(tmp_path / "bad.yaml"))
     assert main(["validate-data", "--config", str(tmp_path / "bad.yaml")]) == 2
     assert "coverage" in capsys.readouterr().err
@@ -96,3 +115,70 @@ def test_json_and_histogram(spark):
     values = spark.createDataFrame([("m", float(k)) for k in range(31)] + [("n", 30.0)], "method string, v double")
     bins = report.histogram(values, "v").collect()
     assert math.isclose(sum(r.density * (r.upper - r.lower) for r in bins if r.method == "m"), 1.0)
+
+
+def test_archive_and_prefix_manifests(spark, tmp_path):
+    opens = {date(2024, 1, 3): 1704292200, date(2024, 1, 4): 1704378600}  # 09:30 New York as UTC seconds
+
+    def page(request):
+        first = date.fromisoformat(request["start"])
+        bars = []
+        for day, at in opens.items():
+            for k in range(-2, 80):  # two bars before the session and two after it
+                if day == date(2024, 1, 4) and k == 5:
+                    continue
+                t = datetime.fromtimestamp(at + 300 * k, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+                bars.append({"t": t, "o": 100.0, "h": 102.0, "l": 99.0, "c": 101.0, "v": 10.0, "vw": 100.5, "n": 3})
+        return json.dumps({"symbol": "SPY", "bars": bars if first == date(2024, 1, 3) else [], "next_page_token": None}).encode()
+
+    table = str(tmp_path / "bars.parquet")
+    made = manifests.archive_bars(spark, tmp_path / "pages", "SPY", date(2024, 1, 3), date(2024, 1, 6), page, table)
+    assert (made["vendor_bars"], made["kept_bars"], made["excluded_bars"]) == (163, 155, 8)
+    assert made["missing_bars"] == {"2024-01-04": 1, "2024-01-05": 78} and made["requested_sessions"] == 3 and made["observed_sessions"] == 2
+    part = manifests.extract_prefix(spark, table, datetime(2024, 1, 4), str(tmp_path / "part.parquet"))
+    assert part["rows"] == 78 and part["parent_sha256"] == made["sha256"] == manifests.check_manifest(spark, table)["sha256"] and part["timestamp_label"] == "start"
+    with pytest.raises(FileExistsError):
+        manifests.write_manifest(table, {})
+    spark.read.parquet(table).limit(3).write.mode("append").parquet(table)
+    with pytest.raises(ValueError, match="differs"):
+        manifests.check_manifest(spark, table)
+
+
+def test_hmm_input_contract(spark):
+    rows = spark.createDataFrame([("r", 300, "2024-01-03", 0, 1.0), ("r", 600, "2024-01-03", 0, 2.0), ("r", 1500, "2024-01-03", 1, 2.0)], "refit_id string, t long, session string, segment_id int, x double")
+    hmm.check_input(rows, ["x"])
+    assert [r.interval for r in hmm.bar_intervals(rows).collect()] == [300]
+    for bad, columns in ((rows, []), (rows, ["x", "x"]), (rows, ["y"]), (rows.withColumn("session", F.lit(None).cast("string")), ["x"]), (rows.unionByName(rows), ["x"])):
+        with pytest.raises(hmm.HmmInputError):
+            hmm.check_input(bad, columns)
+    good = {"means": np.zeros((2, 1)), "covariances": np.ones((2, 1, 1)), "transitions": np.full((2, 2), 0.5), "start": np.full(2, 0.5)}
+    assert hmm.parameter_faults(good, 2, 1) == []
+    for name, value in (("means", np.zeros((2, 2))), ("means", np.full((2, 1), np.nan)), ("transitions", np.full((2, 2), 0.6)), ("start", np.array([1.5, -0.5]))):
+        assert len(hmm.parameter_faults(good | {name: value}, 2, 1)) == 1
+    skew = np.array([[[1.0, 0.2], [0.1, 1.0]]] * 2)
+    assert hmm.parameter_faults(good | {"means": np.zeros((2, 2)), "covariances": skew}, 2, 2) == ["covariance of state 0: not symmetric", "covariance of state 1: not symmetric"]
+
+
+def test_blocked_knn_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = np.round(rng.normal(size=(90, 7)), 1)
+    vectors[5] = vectors[17] = 0
+    vectors[30] = vectors[31]
+    items = spark.createDataFrame([(k, k % 4, v.tolist()) for k, v in enumerate(vectors)], "id long, grp int, v array<double>")
+    queries = items.where("id % 9 = 0 or id in (5, 30)").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 20)
+    for metric in ("euclidean", "cosine"):
+        got = {(r.q, r["rank"]): r.id for r in retrieval.exact_knn(queries, items, 6, 2, metric).collect()}
+        for q in (r.q for r in queries.collect()):
+            a, norms = vectors[q], np.sqrt((vectors**2).sum(axis=1))
+            if metric == "euclidean":
+                d = np.sqrt(((vectors - a) ** 2).sum(axis=1))
+            else:
+                whole = norms * norms[q]
+                d = np.where((norms == 0) & (norms[q] == 0), 0.0, np.where(whole == 0, 1.0, 1 - np.clip((vectors * a).sum(axis=1) / np.where(whole == 0, 1, whole), -1, 1)))
+            taken, want = {}, []
+            for k in sorted((k for k in range(90) if k != q), key=lambda k: (d[k], k)):
+                if taken.get(k % 4, 0) < 2 and len(want) < 6:
+                    taken[k % 4] = taken.get(k % 4, 0) + 1
+                    want.append(k)
+            assert [got[q, r + 1] for r in range(6)] == want, (metric, q)
