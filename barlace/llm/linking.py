@@ -1,15 +1,16 @@
 """Connected groups of rows that share a key and pass a check, without all pairs of a bucket.
 
 ``link`` takes bucket rows (key, id, w) and a function that verifies pairs.
-Exactness: every pair of ids that shares a key, passes the weight filter and is
-not yet known to be connected is verified, either against a bucket's leader or
-in the last, exhaustive step.  So the groups equal those of all verified pairs.
+Exactness (``exhaustive``): every pair of ids that shares a key, passes the weight
+filter and is not yet known to be connected is verified, either against a bucket's
+leader or in the last, exhaustive step.  So the groups equal those of all verified pairs.
 
 * A star round verifies each member of a bucket against one leader only, so a
   bucket of n rows gives n pairs.  Verified pairs are contracted at once.
-* Buckets whose members are all connected are finished.  There are STAR_ROUNDS
-  such rounds at every size.
-* What is left is compared pair by pair, across components only.
+* Buckets whose members are all connected are finished.  There are ``stars`` such
+  rounds at every size, each with another leader.
+* What is left is compared pair by pair, across components only, unless the caller is
+  content with the leaders (``exhaustive`` false): then work is linear in the rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ STAR_ROUNDS = 1
 
 
 def link(
-    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, fits: str = "true", name: str = "link"
+    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, fits: str = "true", name: str = "link", stars: int = STAR_ROUNDS, exhaustive: bool = True
 ) -> DataFrame | None:
     """(id, comp) for every id with a verified link; None if there is none.
 
@@ -34,22 +35,19 @@ def link(
     a < b to those that hold.  Null keys or ids must have been left out.
     """
     rows, comps, tried, turn = buckets, None, [], 0
-    while True:
+    while exhaustive or turn < stars:
         if comps is not None:
             joined = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         else:
             joined = rows.withColumn("comp", F.col("id"))
-        open_keys = joined.groupBy("key").agg(
-            F.min("comp").alias("lo"),
-            F.max("comp").alias("hi"),
-            F.min("id").alias("lead"),
-        ).where("lo < hi")
-        live = scratch.keep(joined.join(open_keys.select("key", "lead"), "key"), f"{name}-live{turn}")
+        joined = joined.withColumn("place", F.xxhash64(F.lit(turn), "id") if turn else F.col("id"))
+        open_keys = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("place").alias("first")).where("lo < hi")
+        live = scratch.keep(joined.join(open_keys.select("key", "first"), "key"), f"{name}-live{turn}")
         if turn:
             scratch.drop(f"{name}-live{turn - 1}")
         if live.isEmpty():
             break
-        leads = live.where("id = lead").select("key", F.col("w").alias("lw"), F.col("comp").alias("lcomp")).dropDuplicates(["key"])
+        leads = live.where("place = first").select("key", F.col("id").alias("lead"), F.col("w").alias("lw"), F.col("comp").alias("lcomp")).dropDuplicates(["key"])
         star = (
             live.join(leads, "key")
             .where("comp <> lcomp")
@@ -60,7 +58,7 @@ def link(
             )
             .where(fits)
         )
-        last = turn >= STAR_ROUNDS
+        last = exhaustive and turn >= stars
         if last:
             one, two = live.select("key", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("comp").alias("ca")), live.select(
                 "key", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("comp").alias("cb")
