@@ -1,14 +1,15 @@
 """Paired whole-session bootstrap of loss differences.
 
-Sessions are pre-aggregated to sums and counts.  The driver draws only the
-multiplicities (resamples x sessions small integers, in a fixed order of one
-generator); sums, ratios and interval quantiles are DataFrame aggregates.
+Sessions are pre-aggregated to sums and counts.  Draws come from a counter-based
+generator in integer arithmetic: the pick of a cell, resample and position is a
+function of these numbers and the seed alone.  So executors draw side by side, a lost
+task draws the same again, and plain SQL can repeat it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .metrics import losses, with_subtotals
@@ -31,26 +32,30 @@ def cluster_sums(predictions: DataFrame, models: tuple[str, ...] = MODELS, refer
     )
 
 
-def multiplicities(spark: SparkSession, cells: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(embargo, horizon, fold, draw, session, m): whole sessions drawn with replacement, one generator over cells in order.
+#: Modulus of the generator, a prime, and the numbers of its steps; the fifth power permutes the residues.
+PRIME, FACTOR, TERM = (1 << 31) - 1, 48271, 11
 
-    ``cells``: one row per cell and session.  Its size is cells x sessions, as
-    a calendar has them; cells of fewer than two sessions draw nothing.
+
+def _mixed(frame: DataFrame, *numbers: Column) -> DataFrame:
+    for number in numbers:  # a column each, so no state is written out twice
+        frame = frame.withColumn("_take", number.cast("long")).withColumn("_x", F.expr(f"((_x + _take) % {PRIME} * {FACTOR} + {TERM}) % {PRIME}"))
+        frame = frame.withColumn("_y", F.expr(f"_x * _x % {PRIME}")).withColumn("_x", F.expr(f"_y * _y % {PRIME} * _x % {PRIME}"))
+    return frame.drop("_take", "_y")
+
+
+def multiplicities(cells: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(embargo, horizon, fold, draw, session, m): whole sessions drawn with replacement, as many as a cell has.
+
+    ``cells``: rows with cell and session.  Cells of fewer than two sessions draw nothing.
     """
-    found: dict[tuple, list] = {}
-    for r in cells.select(*CELL, "q_session").distinct().orderBy("embargo_sessions", "horizon_minutes", "fold", "q_session").toLocalIterator():
-        found.setdefault((r[0], r[1], r[2]), []).append(r[3])
-    generator = np.random.default_rng(seed)
-    rows = []
-    for cell, sessions in found.items():
-        n = len(sessions)
-        if n < 2:
-            continue
-        for draw in range(resamples):
-            m = generator.multinomial(n, np.full(n, 1 / n))
-            rows += [(*cell, draw, session, int(k)) for session, k in zip(sessions, m, strict=True) if k]
-    kind = dict(cells.dtypes)["q_session"]
-    return spark.createDataFrame(rows, f"embargo_sessions int, horizon_minutes int, fold int, draw int, q_session {kind}, m int")
+    sessions = cells.select(*CELL, "q_session").distinct()
+    numbered = sessions.withColumn("_i", F.row_number().over(W.partitionBy(*CELL).orderBy("q_session")) - 1)  # a calendar's sessions
+    sizes = sessions.groupBy(*CELL).agg(F.count("*").alias("_n")).where("_n > 1")
+    state = _mixed(sizes.withColumn("_x", F.lit(0).cast("long")), F.lit(seed), *(F.col(c) for c in CELL))
+    state = _mixed(state.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))), F.col("draw"))
+    picks = _mixed(state.withColumn("_k", F.explode(F.expr("sequence(0, cast(_n as int) - 1)"))), F.col("_k")).withColumn("_i", F.expr("cast(_x % _n as int)"))
+    counts = picks.groupBy(*CELL, "draw", "_i").agg(F.count("*").alias("m"))
+    return counts.join(numbered, [*CELL, "_i"]).select(*CELL, "draw", "q_session", "m")
 
 
 def bootstrap_intervals(sums: DataFrame, draws: DataFrame, confidence: float, resamples: int, reference: str = "raw_knn") -> DataFrame:
@@ -73,7 +78,7 @@ def paired_session_bootstrap(predictions: DataFrame, resamples: int = 1000, conf
     from ..plans.store import keep
 
     sums = keep(cluster_sums(predictions), "sums")
-    draws = multiplicities(predictions.sparkSession, sums, resamples, seed)
+    draws = multiplicities(sums, resamples, seed)
     return bootstrap_intervals(sums, draws, confidence, resamples).orderBy("embargo_sessions", "fold", "horizon_minutes", "model", "loss")
 
 

@@ -155,6 +155,34 @@ def prefix_planted(end: int) -> str:
     return _counts({"missing": f"({early}) EXCEPT ALL ({later})", "added": f"({later}) EXCEPT ALL ({early})"}, "difference")
 
 
+_CELL = "embargo_sessions, horizon_minutes, fold"
+
+
+def multiplicities(clusters: str, resamples: int, seed: int) -> str:
+    """The draws of operators.bootstrap in SQL: one nested step for each number that the generator takes in."""
+    prime = (1 << 31) - 1
+
+    def step(rows: str, number: str, more: str = "") -> str:
+        taken = f"SELECT * EXCLUDE (x), ((x + {number}) % {prime} * 48271 + 11) % {prime} AS x0 FROM (SELECT *{more} FROM ({rows}))"
+        return f"SELECT * EXCLUDE (x0, y), y * y % {prime} * x0 % {prime} AS x FROM (SELECT *, x0 * x0 % {prime} AS y FROM ({taken}))"
+
+    rows = f"SELECT {_CELL}, count(DISTINCT q_session) AS size, 0::BIGINT AS x FROM {clusters} GROUP BY ALL HAVING count(DISTINCT q_session) > 1"
+    for number in (str(seed), "embargo_sessions", "horizon_minutes", "fold"):
+        rows = step(rows, number)
+    rows = step(rows, "draw", f", unnest(range(0, {resamples})) AS draw")
+    rows = step(rows, "place", ", unnest(range(0, size)) AS place")
+    numbered = f"SELECT {_CELL}, q_session, row_number() OVER (PARTITION BY {_CELL} ORDER BY q_session) - 1 AS i FROM (SELECT DISTINCT {_CELL}, q_session FROM {clusters})"
+    return f"SELECT {_CELL}, draw, q_session, count(*) AS m FROM (SELECT {_CELL}, draw, x % size AS i FROM ({rows})) JOIN ({numbered}) USING ({_CELL}, i) GROUP BY ALL"
+
+
+def intervals(clusters: str, resamples: int, seed: int) -> str:
+    """Mean differences and 95 per cent percentile intervals."""
+    return f"""SELECT {_CELL}, model, loss, n_forecasts, n_sessions, CASE WHEN n_sessions >= 2 THEN 'ok' ELSE 'insufficient_sessions' END AS status, round(mean_difference, 7) + 0.0 AS mean_difference, round(lo, 7) + 0.0 AS ci_lower, round(hi, 7) + 0.0 AS ci_upper
+        FROM (SELECT {_CELL}, model, loss, sum(n)::BIGINT AS n_forecasts, count(*) AS n_sessions, sum(total) / sum(n) AS mean_difference FROM {clusters} GROUP BY ALL)
+        LEFT JOIN (SELECT {_CELL}, model, loss, quantile_cont(ratio, 0.025) AS lo, quantile_cont(ratio, 0.975) AS hi FROM (SELECT {_CELL}, model, loss, draw, sum(m * total) / sum(m * n) AS ratio
+        FROM {clusters} JOIN ({multiplicities(clusters, resamples, seed)}) USING ({_CELL}, q_session) GROUP BY ALL) GROUP BY ALL) USING ({_CELL}, model, loss)"""
+
+
 def metrics(source: str, keys: str) -> str:
     """SQL of the metric table with tie-averaged rank correlation."""
     return f"""SELECT {keys}, n_forecasts, n_sessions, query_start, query_end, round(mae, 8) + 0.0 AS mae, round(rmse, 8) + 0.0 AS rmse, round(mse, 8) + 0.0 AS mean_signed_error, round(brier, 8) + 0.0 AS brier,

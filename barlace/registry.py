@@ -40,6 +40,8 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Resamples of the registered bootstrap, as many as the reference draws.
+RESAMPLES = 1000
 _EVALUATIONS: dict[tuple, wf.WalkForward] = {}
 _PREDICTIONS: dict[tuple[str, str], DataFrame] = {}
 
@@ -307,15 +309,25 @@ def q_cluster_sums(spark, d):
     return bootstrap.cluster_sums(predictions(spark, d), MODELS).select("embargo_sessions", "horizon_minutes", "fold", "q_session", "model", "loss", "n", *_r("total", digits=7))
 
 
-def q_bootstrap(spark, d):
+def _bootstrap(spark, d):
     sums = keep(bootstrap.cluster_sums(predictions(spark, d), MODELS), "sums")
-    return bootstrap.bootstrap_intervals(sums, bootstrap.multiplicities(spark, sums, 100, 42), 0.95, 100)
+    return bootstrap.bootstrap_intervals(sums, bootstrap.multiplicities(sums, RESAMPLES, CONFIG.random_state), 0.95, RESAMPLES)
+
+
+def q_bootstrap(spark, d):
+    names = ["embargo_sessions", "horizon_minutes", "fold", "model", "loss", "n_forecasts", "n_sessions", "status"]
+    return _bootstrap(spark, d).select(*names, *_r("mean_difference", "ci_lower", "ci_upper", digits=7))
 
 
 def q_bootstrap_means(spark, d):
     """The part of the bootstrap that does not depend on draws."""
-    names = ["embargo_sessions", "horizon_minutes", "fold", "model", "loss", "n_forecasts", "n_sessions", "status"]
-    return q_bootstrap(spark, d).select(*names, *_r("mean_difference", digits=7))
+    return q_bootstrap(spark, d).drop("ci_lower", "ci_upper")
+
+
+def q_multiplicities(spark, d):
+    """What is drawn: how often each session, over the first resamples."""
+    sums = bootstrap.cluster_sums(predictions(spark, d), MODELS)
+    return bootstrap.multiplicities(sums, 10, CONFIG.random_state)
 
 
 def q_query_coverage(spark, d):
@@ -323,7 +335,7 @@ def q_query_coverage(spark, d):
 
 
 def q_conclusion(spark, d):
-    table = q_bootstrap(spark, d).where("model = 'momentum' and loss = 'absolute_error' and embargo_sessions = 1")
+    table = _bootstrap(spark, d).where("model = 'momentum' and loss = 'absolute_error' and embargo_sessions = 1")
     return bootstrap.conclusion(table, [15, 30, 60], 3)
 
 
@@ -394,7 +406,7 @@ def q_equity(spark, d):
 def q_trading_metrics(spark, d):
     b, rows, done = _trading(spark, d)
     table = trading.trading_metrics(trading.equity(b, rows, done), done, 1.0)
-    return table.select("method", "horizon_minutes", "n_trades", "n_sessions", "n_bars", *_r("hit_rate", "average_holding_return", "time_in_market", "max_drawdown", digits=6), F.round(F.log1p("net_return"), 5).alias("ln_net"))
+    return table.select("method", "horizon_minutes", "n_trades", "n_sessions", "n_bars", F.round("sharpe", 5).alias("sharpe"), F.round(F.log1p("turnover"), 5).alias("ln_turnover"), *_r("hit_rate", "average_holding_return", "time_in_market", "max_drawdown", digits=6), F.round(F.log1p("net_return"), 5).alias("ln_net"))
 
 
 def _audit_tables(spark, d):
@@ -477,7 +489,7 @@ QUERIES = {
     "same_time_counts": q_same_time, "common_cohort": q_common, "neighbors": q_neighbors, "knn_euclidean": q_knn_euclidean, "knn_cosine": q_knn_cosine,
     "unconditional_forecast": q_unconditional, "same_time_forecast": q_same_time_forecast, "momentum_forecast": q_momentum, "raw_knn_forecast": q_raw_knn,
     "predictions": q_predictions, "forecast_metrics": q_metrics, "fold_metrics": q_fold_metrics, "calibration": q_calibration, "sensitivity": q_sensitivity,
-    "paired_differences": q_paired, "cohort_violations": q_cohorts, "bootstrap_cluster_sums": q_cluster_sums, "bootstrap_ci": q_bootstrap, "bootstrap_means": q_bootstrap_means, "query_coverage": q_query_coverage, "conclusion": q_conclusion,
+    "paired_differences": q_paired, "cohort_violations": q_cohorts, "bootstrap_cluster_sums": q_cluster_sums, "bootstrap_ci": q_bootstrap, "multiplicities": q_multiplicities, "bootstrap_means": q_bootstrap_means, "query_coverage": q_query_coverage, "conclusion": q_conclusion,
     "hmm_filter_fixed": q_filter, "state_occupancy": q_occupancy, "occupancy_by_sign": q_occupancy_by_sign, "occupancy_by_volatility": q_occupancy_by_volatility,
     "clock_concentration": q_clock, "hmm_fit_walk_forward": q_hmm_fit, "hmm_forecasts": q_hmm_forecasts, "trades": q_trades, "equity_curve": q_equity,
     "trading_metrics": q_trading_metrics, "audit_violations": q_audit, "prefix_invariance": q_prefix, "audit_planted": q_audit_planted, "cohorts_planted": q_cohorts_planted, "prefix_planted": q_prefix_planted,
@@ -592,15 +604,25 @@ def _with_equity(final: str) -> str:
     return _with_trades(mark + final).replace(" " + mark, _EQUITY_STEPS + " ")
 
 
+_CLUSTERS = """SELECT embargo_sessions, horizon_minutes, fold, q_session, model, loss_name AS loss, count(*) AS n, sum(v) AS total FROM (UNPIVOT (SELECT o.embargo_sessions, o.horizon_minutes, o.fold, o.q_session, o.method AS model, o.absolute_error - r.absolute_error AS absolute_error,
+    o.squared_error - r.squared_error AS squared_error, o.brier - r.brier AS brier FROM sub o JOIN sub r USING (embargo_sessions, horizon_minutes, fold, q_t) WHERE r.method = 'raw_knn' AND o.method <> 'raw_knn') ON absolute_error, squared_error, brier INTO NAME loss_name VALUE v) GROUP BY ALL"""
 ORACLE_SQL |= {
     "equity_curve": _with_equity("SELECT method, horizon_minutes, session, t, round(ln(gross_equity), 5) AS ln_gross_equity, round(ln(net_equity), 5) AS ln_net_equity FROM eq"),
     "trading_metrics": _with_equity("""SELECT m.method, m.horizon_minutes, coalesce(n, 0) AS n_trades, n_sessions, n_bars, round(hit, 6) + 0.0 AS hit_rate, round(avg_return, 6) + 0.0 AS average_holding_return, round(coalesce(held, 0) / n_bars, 6) + 0.0 AS time_in_market,
-        round(drawdown, 6) + 0.0 AS max_drawdown, round(ln(net), 5) AS ln_net FROM (SELECT method, horizon_minutes, count(DISTINCT session) AS n_sessions, count(*) AS n_bars, max(1 - net_equity / peak) AS drawdown, arg_max(net_equity, t) AS net
+        round(drawdown, 6) + 0.0 AS max_drawdown, round(ln(net), 5) AS ln_net, round(sharpe, 5) AS sharpe, round(ln(1 + coalesce(turnover, 0)), 5) AS ln_turnover FROM (SELECT method, horizon_minutes, count(DISTINCT session) AS n_sessions, count(*) AS n_bars, max(1 - net_equity / peak) AS drawdown, arg_max(net_equity, t) AS net
         FROM (SELECT *, max(greatest(net_equity, 1.0)) OVER (PARTITION BY method, horizon_minutes ORDER BY t) AS peak FROM eq) GROUP BY ALL) m LEFT JOIN (SELECT method, horizon_minutes, count(*) AS n,
-        avg((exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)) - 1 > 0)::INT::DOUBLE) AS hit, avg(exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)) - 1) AS avg_return, sum((exit_t - q_t) / 900)::BIGINT AS held FROM done GROUP BY ALL) d USING (method, horizon_minutes)"""),
+        avg((exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)) - 1 > 0)::INT::DOUBLE) AS hit, avg(exit_price / entry_price * ((1 - 0.0001) / (1 + 0.0001)) - 1) AS avg_return, sum((exit_t - q_t) / 900)::BIGINT AS held FROM done GROUP BY ALL) d USING (method, horizon_minutes)
+        LEFT JOIN (SELECT method, horizon_minutes, sum(nb / (entry_price * 1.0001) * (entry_price + exit_price)) AS turnover FROM cum GROUP BY ALL) u USING (method, horizon_minutes)
+        LEFT JOIN (SELECT method, horizon_minutes, CASE WHEN stddev_samp(r) > 0 THEN sqrt(252) * avg(r) / stddev_samp(r) END AS sharpe FROM (SELECT *, last_value / coalesce(lag(last_value) OVER (PARTITION BY method, horizon_minutes ORDER BY session), 1.0) - 1 AS r
+        FROM (SELECT method, horizon_minutes, session, arg_max(net_equity, t) AS last_value FROM eq GROUP BY ALL)) GROUP BY ALL) v USING (method, horizon_minutes)"""),
     "bootstrap_means": sql("""SELECT embargo_sessions, horizon_minutes, fold, model, loss_name AS loss, count(*) AS n_forecasts, count(DISTINCT q_session) AS n_sessions, CASE WHEN count(DISTINCT q_session) >= 2 THEN 'ok' ELSE 'insufficient_sessions' END AS status, round(avg(v), 7) + 0.0 AS mean_difference
         FROM (UNPIVOT (SELECT o.embargo_sessions, o.horizon_minutes, o.fold, o.q_session, o.method AS model, o.absolute_error - r.absolute_error AS absolute_error, o.squared_error - r.squared_error AS squared_error, o.brier - r.brier AS brier
         FROM sub o JOIN sub r USING (embargo_sessions, horizon_minutes, fold, q_t) WHERE r.method = 'raw_knn' AND o.method <> 'raw_knn') ON absolute_error, squared_error, brier INTO NAME loss_name VALUE v) GROUP BY ALL"""),
+    "multiplicities": sql(f"SELECT * FROM ({oracle.multiplicities('(' + _CLUSTERS + ')', 10, CONFIG.random_state)})"),
+    "bootstrap_ci": sql(oracle.intervals("(" + _CLUSTERS + ")", RESAMPLES, CONFIG.random_state)),
+    "conclusion": sql(f"""SELECT CASE WHEN n < 12 THEN 'inconclusive' WHEN top_better AND folds_better THEN 'improved' WHEN top_worse AND folds_worse THEN 'not_improved' ELSE 'inconclusive' END AS outcome FROM (SELECT count(*) AS n,
+        bool_and(ci_upper < 0) FILTER (fold = 0) AS top_better, bool_and(mean_difference < 0) FILTER (fold > 0) AS folds_better, bool_and(ci_lower > 0) FILTER (fold = 0) AS top_worse, bool_and(mean_difference > 0) FILTER (fold > 0) AS folds_worse
+        FROM ({oracle.intervals("(" + _CLUSTERS + ")", RESAMPLES, CONFIG.random_state)}) WHERE model = 'momentum' AND loss = 'absolute_error' AND embargo_sessions = 1)"""),
     "query_coverage": sql("SELECT q_session, count(DISTINCT q_t) AS queries, min(q_t) AS first_t, max(q_t) AS last_t FROM pred GROUP BY q_session"),
 }
 ORACLE_SQL = {name: _tied(text) for name, text in ORACLE_SQL.items()}
