@@ -29,10 +29,12 @@ _OWN_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for scratch tables, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """Folder for scratch tables, from ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None) or _OWN_ROOTS.get(app)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _OWN_ROOTS[app] = f"file://{tempfile.mkdtemp(prefix='barlace-')}"
     return root.rstrip("/")
 

@@ -70,6 +70,7 @@ def parse(page: str) -> list[Node]:
     """Nodes of the page, parents before children, in page order."""
     nodes = [Node("#root")]
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block node each stands in
+    opened = Counter(["#root"])
     hidden = links = 0
     current: Node | None = None
     at = 0
@@ -92,12 +93,15 @@ def parse(page: str) -> list[Node]:
         nonlocal hidden, links, current
         while len(stack) > to:
             tag, _ = stack.pop()
+            opened[tag] -= 1
             hidden -= tag in UNSEEN
             links -= tag == "a"
             if tag in BLOCK:
                 current = None
 
     def innermost(tags: set[str], stops: set[str]) -> int | None:
+        if not any(opened[t] for t in tags):  # so deep pages are not searched for what is not open
+            return None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 return k
@@ -144,6 +148,7 @@ def parse(page: str) -> list[Node]:
             nodes.append(Node(tag, words, owner))
             owner, current = len(nodes) - 1, None
         stack.append((tag, owner))
+        opened[tag] += 1
         hidden += tag in UNSEEN
         links += tag == "a"
         if tag in RAW:

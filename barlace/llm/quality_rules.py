@@ -222,4 +222,5 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The documents that the base rule and the list keep, with all their columns."""
     rules = fit_rules(docs, labels, id_col, text_col, label_col)
-    return judged(docs, rules, text_col).where("_stats.kept").drop("_stats")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))  # no given column can clash
+    return judged(given, rules).where("_stats.kept").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -92,3 +92,25 @@ def test_repeated_rows_leave_one_row(spark):
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, table, "").collect())
     assert got == Counter([(1, one), (1, two), (None, one), (None, two), (4, None), (5, "")])
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    seconds = []
+    for depth in (4000, 16000):
+        began = time.perf_counter()
+        nodes = html_extraction.parse("<div>" * depth + "<p>text" + "</div>" * depth)
+        seconds.append(time.perf_counter() - began)
+        assert [x.text for x in nodes if x.tag == "#text"] == ["text"]
+    assert seconds[1] < 12 * seconds[0] + 0.5
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    from barlace.llm import quality_rules
+
+    text = " ".join(f"word{k}" for k in range(80))
+    table = spark.createDataFrame([(k, text, k, 2 * k) for k in range(6)], "doc_id long, text string, _stats int, _id int")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int")
+    got = quality_rules.keep_quality(table, labels)
+    assert got.columns == table.columns and sorted(r._stats for r in got.collect()) == list(range(6))
