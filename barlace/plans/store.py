@@ -1,7 +1,7 @@
 """Tables that a plan computes once: Parquet below spark.checkpoint.dir, which driver and executors share.
 
 They cut long lineages, survive lost executors and keep later plans small.
-Only where the session names no such folder is a temporary one used.
+Only in local mode may the session name no such folder; a temporary one is used then.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = shared.rstrip("/") if shared else f"file://{tempfile.mkdtemp(prefix='barlace-')}"
         _ROOTS[app] = f"{base}/barlace-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _ROOTS[app])
