@@ -55,12 +55,12 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/barlace-{name}-{uuid.uuid4().hex}"
         atexit.register(self._at_exit)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         before = self.spark.conf.get(FREE_SHUFFLES, "false")
         self.spark.conf.set(FREE_SHUFFLES, "true")  # a written table no longer needs the shuffles that led to it
         try:
-            df.write.parquet(path)
+            df.write.option("compression", codec).parquet(path)
         finally:
             self.spark.conf.set(FREE_SHUFFLES, before)
         self.paths[name] = path

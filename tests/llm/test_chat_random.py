@@ -90,7 +90,7 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
         rows.append((1, 2 * k, "assistant", json.dumps({"tool_calls": [{"id": f"i{k}", "name": "search", "arguments": given}]})))
         rows.append((1, 2 * k + 1, "tool", json.dumps({"tool_call_id": f"i{k}", "content": "r"})))
     keep = chat_format.Scratch.keep
-    monkeypatch.setattr(chat_format.Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    monkeypatch.setattr(chat_format.Scratch, "keep", lambda self, df, name, *rest: kept.append(name) or keep(self, df, name, *rest))
     got = {r.turn: r.order_level for r in chat_format.format_chats(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == {k: k for k in range(2 * n)}
     assert len(kept) < 30
