@@ -115,7 +115,10 @@ def equity(bars: DataFrame, signals: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def trading_metrics(marks: DataFrame, done: DataFrame, bps_per_side: float) -> DataFrame:
-    """Return, Sharpe (252 days), drawdown, hit rate, turnover and time in market of each track, with or without trades."""
+    """Return, last equity, Sharpe (252 days), drawdown, hit rate, turnover and time in market of each track, with or without trades.
+
+    The equity stands beside the return because ``equity - 1`` has no digits left of an equity near 0.
+    """
     daily = marks.groupBy(*TRACK, "session").agg(F.max_by("net_equity", "t").alias("close"), F.max(F.greatest("net_equity", F.lit(1.0))).alias("day_peak"), F.count("*").alias("bars"))
     days = W.partitionBy(*TRACK).orderBy("session")
     before = days.rowsBetween(W.unboundedPreceding, -1)
@@ -131,7 +134,7 @@ def trading_metrics(marks: DataFrame, done: DataFrame, bps_per_side: float) -> D
     out = table.join(worst, TRACK).join(sums, TRACK, "left")
     return out.select(
         *TRACK, F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "n_sessions", "n_bars",
-        (F.col("_gross") - 1).alias("gross_return"), (F.col("_net") - 1).alias("net_return"),
+        (F.col("_gross") - 1).alias("gross_return"), (F.col("_net") - 1).alias("net_return"), F.col("_net").alias("net_equity"),
         F.when(F.col("_std") > 0, F.sqrt(F.lit(252.0)) * F.try_divide(F.col("_mean"), F.col("_std"))).alias("sharpe"), "max_drawdown", "hit_rate", "average_holding_return",
         F.coalesce("turnover", F.lit(0.0)).alias("turnover"), (F.coalesce("_held", F.lit(0)) / F.col("n_bars")).alias("time_in_market"), F.lit(bps_per_side).alias("bps_per_side"),
     )

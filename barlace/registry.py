@@ -406,7 +406,7 @@ def q_equity(spark, d):
 def q_trading_metrics(spark, d):
     b, rows, done = _trading(spark, d)
     table = trading.trading_metrics(trading.equity(b, rows, done), done, 1.0)
-    return table.select("method", "horizon_minutes", "n_trades", "n_sessions", "n_bars", F.round("sharpe", 5).alias("sharpe"), F.round(F.log1p("turnover"), 5).alias("ln_turnover"), *_r("hit_rate", "average_holding_return", "time_in_market", "max_drawdown", digits=6), F.round(F.log1p("net_return"), 5).alias("ln_net"))
+    return table.select("method", "horizon_minutes", "n_trades", "n_sessions", "n_bars", F.round("sharpe", 5).alias("sharpe"), F.round(F.log1p("turnover"), 5).alias("ln_turnover"), *_r("hit_rate", "average_holding_return", "time_in_market", "max_drawdown", digits=6), F.round(F.log("net_equity"), 5).alias("ln_net"))
 
 
 def _audit_tables(spark, d):

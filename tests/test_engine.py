@@ -240,6 +240,16 @@ def test_trading(spark):
         trading.checked(bars, signals.withColumn("q_t", F.lit(7).cast("long")))
 
 
+def test_last_equity_keeps_its_digits_near_zero(spark):
+    """A track that loses almost all: ``net_return`` is -1 to the last bit, the equity is not 0."""
+    losses = [(2 * k, 2 * k + 1) for k in range(9)]
+    bars, signals = track(spark, [100.0, 1.0] * 9, [100.0] * 18, losses)
+    done = trading.trades(bars, signals, 0.0, 0.0, 300)
+    m = trading.trading_metrics(trading.equity(bars, signals, done), done, 0.0).first()
+    assert m.n_trades == 9 and m.net_return == -1
+    near([m.net_equity * 1e18], [1.0])
+
+
 def test_calendar(spark):
     table = calendar.bar_grid(calendar.xnys_calendar(spark, date(2024, 11, 27), date(2024, 11, 29)), 5)
     counts = {str(r.session): r["count"] for r in table.groupBy("session").count().collect()}
