@@ -30,6 +30,7 @@ import random
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +61,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+@lru_cache(4096)
+def _share(n: int, size: int) -> float:
+    return n / size * math.log2(n / size)
+
+
 def entropy(token: str) -> float:
-    return -sum(n / len(token) * math.log2(n / len(token)) for n in Counter(token).values())
+    size = len(token)
+    return -sum([_share(n, size) for n in Counter(token).values()])
 
 
 def shape(token: str) -> str:
@@ -93,20 +100,44 @@ def file_features(tokens: list[str]) -> list[str]:
     return [f"file:cue={any(t.lower() in CUE_WORDS for t in tokens)}"]
 
 
-def own_features(token: str) -> list[str]:
-    folds = shape(token)
-    digits = sum(c.isdigit() for c in token)
-    letters = sum(c.isalpha() for c in token)
-    size = min(len(token) // 3, 14)
-    kind = "letters" if letters == len(token) else "digits" if digits == len(token) else "both" if letters and digits else "other"
-    mixed = any(c.islower() for c in token) and any(c.isupper() for c in token[1:])
+#: Class of each ASCII character, as ``shape`` writes it, and runs of one class.
+_CLASSES = bytes(57 if 48 <= b <= 57 else 97 if 97 <= b <= 122 else 65 if 65 <= b <= 90 else 45 for b in range(256))
+_RUNS = re.compile(rb"(.)\1+")
+_HEX_TOKEN = re.compile("[0-9a-fA-F]+")
+
+
+def own_facts(token: str) -> tuple:
+    """What the features of a token by itself depend on; ASCII tokens are told by their bytes."""
+    n = len(token)
+    if ascii_only := token.isascii():
+        codes = token.encode().translate(_CLASSES)
+        digits, low, high = codes.count(b"9"), codes.count(b"a"), codes.count(b"A")
+        letters = low + high
+        folds = codes[:1].decode() if n in (digits, low, high) else _RUNS.sub(rb"\1", codes).decode()
+        mixed = low > 0 and high > (codes[:1] == b"A")
+    else:
+        folds = shape(token)
+        digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
+        mixed = any(c.islower() for c in token) and any(c.isupper() for c in token[1:])
+    kind = "letters" if letters == n else "digits" if digits == n else "both" if letters and digits else "other"
+    symbol = "" if ascii_only and letters + digits == n else "".join(sorted({c for c in token if not c.isalnum()}))[:3]
+    return (
+        min(n // 3, 14), kind, min(int(entropy(token) * 2), 10), min(len(folds) // 2, 8), folds[:3], int(8 * digits / n), mixed, _HEX_TOKEN.fullmatch(token) is not None, symbol, ascii_only
+    )
+
+
+def named_facts(facts: tuple) -> list[str]:
+    size, kind, bits, folds, start, digits, mixed, hexadecimal, symbol, ascii_only = facts
     return [
-        "bias", f"length={size}", f"kind={kind}", f"kind={kind},length={size}", f"entropy={min(int(entropy(token) * 2), 10)}", f"folds={min(len(folds) // 2, 8)}", f"start={folds[:3]}",
-        f"digits={int(8 * digits / len(token))}", f"mixed={mixed}", f"mixed={mixed},length={size}", f"hex={bool(re.fullmatch('[0-9a-fA-F]+', token))}",
-        f"symbol={''.join(sorted({c for c in token if not c.isalnum()}))[:3]}", f"ascii={token.isascii()}",
+        "bias", f"length={size}", f"kind={kind}", f"kind={kind},length={size}", f"entropy={bits}", f"folds={folds}", f"start={start}",
+        f"digits={digits}", f"mixed={mixed}", f"mixed={mixed},length={size}", f"hex={hexadecimal}", f"symbol={symbol}", f"ascii={ascii_only}",
     ]
 
 
+def own_features(token: str) -> list[str]:
+    return named_facts(own_facts(token))
+
+
 #: Marks that the context tells apart.
 MARKS = set(":=\"'@/,.;()<>")
 #: Those of them that, like cue words, may announce a value.
@@ -159,7 +190,8 @@ class Field:
         #: Most that context and transitions can speak for B or I: away from cue words and signs, and near them.
         self.cue = near["file:cue"] - far["file:cue"]
         self.far, self.near = (sum(x.values()) + max(0.0, turn) for x in (far, near))
-        self.cache: dict[str, tuple[int, bool, tuple]] = {}
+        self.cache: dict[str, tuple[int, str, tuple]] = {}
+        self.sums: dict[tuple, tuple[float, float, float]] = {}
 
     def own(self, token: str) -> tuple[int, str, tuple]:
         """(2 if open everywhere, 1 if open near cue words and signs, 0 if closed; ``cue``, ``sign`` or nothing; scores by itself)."""
@@ -168,7 +200,10 @@ class Field:
         except KeyError:
             if len(self.cache) >= CACHE_TOKENS:
                 self.cache.clear()
-            s = self.total(own_features(token))
+                self.sums.clear()
+            facts = own_facts(token)
+            if (s := self.sums.get(facts)) is None:
+                self.sums[facts] = s = self.total(named_facts(facts))
             lead = max(s[1], s[2]) - s[0]
             kind = "cue" if token.lower() in CUE_WORDS else "sign" if token in SIGNS else ""
             self.cache[token] = found = (2 if lead + self.far >= 0 else 1 if lead + self.near >= 0 else 0, kind, s)
@@ -176,7 +211,8 @@ class Field:
 
     def open_tokens(self, tokens: list[str]) -> list[int]:
         """Positions that are not closed."""
-        facts = [self.own(t) for t in tokens]
+        get, own = self.cache.get, self.own
+        facts = [get(t) or own(t) for t in tokens]
         close: set[int] = set()
         cue = False
         for i, f in enumerate(facts):

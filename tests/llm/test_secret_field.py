@@ -126,3 +126,19 @@ def test_long_text_and_repeated_tokens(field):
     long = ("plain words " * 200_000) + "password: tigerlionelephantzebra " + "x" * 1_000_000
     spans = secret_scan.all_spans(long, field)
     assert [long[a:b] for a, b, k in spans[0]] == ["password: tigerlionelephantzebra"]
+
+
+def test_tokens_of_equal_facts_are_scored_once(field, monkeypatch):
+    fresh, calls = secret_scan.Field(field.weights, field.moves), []
+    total = secret_scan.Field.total
+    monkeypatch.setattr(secret_scan.Field, "total", lambda self, features: calls.append(1) or total(self, features))
+    tokens = [a + b + c for a in "uvw" for b in "rst" for c in "xyz"]
+    assert len({fresh.own(t)[2] for t in tokens}) == 1 and len(calls) == 1
+
+
+def test_facts_of_ascii_tokens_equal_those_told_by_character():
+    rng = random.Random(3)
+    for _ in range(3000):
+        token = "".join(rng.choice("abXYZ019_+/=-.éß²字") for _ in range(rng.randint(1, 30)))
+        assert secret_scan.own_facts(token)[4] == secret_scan.shape(token)[:3]
+        assert secret_scan.own_facts(token)[6] == (any(c.islower() for c in token) and any(c.isupper() for c in token[1:]))
