@@ -114,3 +114,24 @@ def test_quality_keeps_columns_of_any_name(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int")
     got = quality_rules.keep_quality(table, labels)
     assert got.columns == table.columns and sorted(r._stats for r in got.collect()) == list(range(6))
+
+
+@pytest.mark.parametrize("boundary", [0, 4, 9])
+def test_no_sample_changes_the_groups(spark, monkeypatch, boundary):
+    from barlace.llm import jaccard_join
+
+    rng = random.Random(5)
+    texts = [words(rng, n) for n in (5, 7, 9, 12, 14, 20, 30) for _ in range(6)]
+    texts += [[*t[:-1], "changed"] for t in texts] + [["added", *t] for t in texts]
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    groups = lambda: {tuple(r) for r in jaccard_join.jaccard_groups(table).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    top = list(range(len(texts)))
+    for _ in range(4):  # smallest id reachable
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                top[a] = top[b] = min(top[a], top[b])
+    drawn = np.random.default_rng(boundary).random(1 << 16) < 0.5
+    monkeypatch.setattr(jaccard_join, "frequent_table", lambda *_: (drawn, 48, boundary))
+    assert groups() == {(k, len(s), top[k]) for k, s in enumerate(sets)}
+    assert len(set(top)) < len(top)
